@@ -48,4 +48,6 @@ def typed_clock(value: Column, dtype: T.DataType) -> Column:
         return serial_to_clock(value)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(value, "HH:mm")
-    return F.coalesce(serial_to_clock(to_number(value)), value)
+    # most times are text already, and a failing cast is much dearer than a look for the colon
+    serial = F.when(~value.contains(":"), serial_to_clock(to_number(value)))
+    return F.coalesce(serial, value)

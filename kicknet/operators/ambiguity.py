@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, divide, spreading_sum, whole
-from kicknet.operators.matching import repeat_rows
+from kicknet.operators.matching import null_safe_join, repeat_rows
 
 RPKC, DPAC, APTC = "RPKC-S", "DPAC-S", "APTC-S"
 METHODS = (RPKC, DPAC, APTC)
@@ -163,38 +163,32 @@ def _largest_lines(df: DataFrame, group, ranks, count: Column, order: list[str],
     return _walk(lines, group, ranks, receive)
 
 
-def _keyed(lines: DataFrame, key: list[str], *columns: str) -> DataFrame:
-    return lines.select(whole(key).alias("_key"), *columns)
-
-
 def _resolve_rpkc(df, group, ranks, to_filter) -> DataFrame:
     lowest, key = F.col(ranks[0]), group + ranks
     lines = _keep_lines(df, group, ranks).where((F.col("_level") > 1) & F.col("_keep"))
-    kept = _keyed(lines, key)
-    match = whole(key) == F.col("_key")
     # rows with a value at the lowest rank are kept whatever the group holds
     settled, rest = df.where(lowest.isNotNull()), df.where(lowest.isNull())
     if to_filter:
         some_rank = reduce(lambda a, b: a | b, [F.col(r).isNotNull() for r in ranks])
-        return settled.unionByName(rest.where(some_rank).join(kept, match, "left_semi"))
-    flagged = rest.join(kept, match, "left").withColumn("is_ambiguous", F.col("_key").isNull())
-    return settled.withColumn("is_ambiguous", F.lit(False)).unionByName(flagged.drop("_key"))
+        kept = null_safe_join(rest.where(some_rank), lines, key, "left_semi")
+        return settled.unionByName(kept)
+    flagged = null_safe_join(rest, lines, key, "left", ["_keep"])
+    flagged = flagged.withColumn("is_ambiguous", F.col("_keep").isNull()).drop("_keep")
+    return settled.withColumn("is_ambiguous", F.lit(False)).unionByName(flagged)
 
 
 def _resolve_dpac(df, group, ranks, count, to_filter) -> DataFrame:
     key = group + ranks
     lines = _proportional_lines(df, group, ranks, count)
-    match = whole(key) == F.col("_key")
     if to_filter:
-        kept = _keyed(lines.where("_keep"), key, "_factor")
-        rows = df.join(kept, match, "inner")
-        return rows.withColumn("new_count", count * F.col("_factor")).drop("_key", "_factor")
-    rows = df.join(_keyed(lines, key, "_factor", "_keep"), match, "left")
+        rows = null_safe_join(df, lines.where("_keep"), key, "inner", ["_factor"])
+        return rows.withColumn("new_count", count * F.col("_factor")).drop("_factor")
+    rows = null_safe_join(df, lines, key, "left", ["_factor", "_keep"])
     keep = F.coalesce(F.col("_keep"), F.lit(False))
     return (
         rows.withColumn("is_ambiguous", ~keep)
         .withColumn("new_count", F.when(keep, count * F.col("_factor")).otherwise(count))
-        .drop("_key", "_factor", "_keep")
+        .drop("_factor", "_keep")
     )
 
 
@@ -202,10 +196,9 @@ def _resolve_aptc(df, group, ranks, count, to_filter, order, seed) -> DataFrame:
     key, columns = group + ranks, df.columns
     lines = _largest_lines(df, group, ranks, count, order, seed)
     receiver = F.col("_extra").isNull() | (F.col("_extra") != 0)
-    joined = df.join(
-        _keyed(lines.withColumn("_receiver", F.when(receiver, F.col("_top.row"))), key, "_keep", "_receiver"),
-        whole(key) == F.col("_key"),
-        "inner" if to_filter else "left",
+    receiving = lines.withColumn("_receiver", F.when(receiver, F.col("_top.row")))
+    joined = null_safe_join(
+        df, receiving, key, "inner" if to_filter else "left", ["_keep", "_receiver"]
     )
     keep = F.coalesce(F.col("_keep"), F.lit(False))
     row_order = order + [c for c in columns if c not in order]
@@ -215,7 +208,7 @@ def _resolve_aptc(df, group, ranks, count, to_filter, order, seed) -> DataFrame:
         others = others.where("_keep")
     else:
         others = others.withColumn("is_ambiguous", ~keep)
-    others = others.withColumn("new_count", count).drop("_key", "_keep", "_receiver")
+    others = others.withColumn("new_count", count).drop("_keep", "_receiver")
     # of several copies of a receiving row exactly one receives
     receivers = repeat_rows(
         lines.where(F.col("_keep") & receiver), F.col("_top.copies"), "_copy"

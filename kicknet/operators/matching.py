@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kicknet.functions.missing import whole
 
@@ -14,6 +16,15 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 REPEAT_CHUNK = 100_000
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions.
+
+    For a repartition ahead of rows being multiplied: with a stated number
+    adaptive execution does not merge the still small partitions.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def broadcast_if_small(
     df: DataFrame,
     max_rows: int = BROADCAST_MAX_ROWS,
@@ -34,6 +45,37 @@ def broadcast_if_small(
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
+def null_safe_join(
+    left: DataFrame, right: DataFrame, columns: Sequence[str], how: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Equi-join on columns of the same names, null equal to null.
+
+    The result has the columns of ``left`` and the ``carry`` columns of
+    ``right``. A hash of the columns is the first join key: sorting then
+    compares one number per row and looks at the columns only where rows agree.
+    """
+    types = {f.name: f.dataType for f in left.schema}
+    other = {f.name: f.dataType for f in right.schema}
+
+    def hashed(c: str) -> Column:
+        # adding 0 makes -0.0 and 0.0 the same bits
+        return F.col(c) + F.lit(0.0) if isinstance(types[c], T.DoubleType) else F.col(c)
+
+    alike = [c for c in columns if types[c] == other[c]]
+    key = F.xxhash64(*[hashed(c) for c in alike]) if alike else F.lit(0)
+    keyed = left.withColumn("_left_hash", key)
+    match = right.select(
+        key.alias("_right_hash"), *[F.col(c).alias(f"_right_{c}") for c in columns], *carry
+    )
+    condition = reduce(
+        lambda a, b: a & b,
+        [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in columns],
+        F.col("_left_hash") == F.col("_right_hash"),
+    )
+    joined = keyed.join(match, condition, how)
+    return joined.select(*left.columns, *([] if how in ("left_semi", "left_anti") else carry))
+
+
 def anti_join_all(left: DataFrame, right: DataFrame, ignoring: Sequence[str] = ()) -> DataFrame:
     """Rows of ``left`` that equal no row of ``right`` in their shared columns, null equal to null.
 
@@ -43,8 +85,7 @@ def anti_join_all(left: DataFrame, right: DataFrame, ignoring: Sequence[str] = (
     shared = [c for c in left.columns if c in right.columns and c not in ignoring]
     if not shared:
         raise ValueError("the two tables share no column")
-    known = right.select(*shared).distinct().select(whole(shared).alias("_known"))
-    return left.join(known, whole(shared) == F.col("_known"), "left_anti")
+    return null_safe_join(left, right.select(*shared).distinct(), shared, "left_anti")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
@@ -76,7 +117,7 @@ def repeat_rows(df: DataFrame, times: Column, number: str, chunk: int = REPEAT_C
     many = (
         counted.where(F.col("_times") > chunk)
         .withColumn("_span", F.explode(span))
-        .repartition()
+        .repartition(shuffle_partitions(df))
         .withColumn(
             number,
             F.explode(

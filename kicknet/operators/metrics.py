@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import divide, whole, zero_if_missing
+from kicknet.operators.matching import null_safe_join
 from kicknet.operators.taxa import FEEDING, ID, ORDER, SEMI_AQUATIC, TOLERANCE
 
 
@@ -205,13 +206,9 @@ def sample_totals(rows: DataFrame, sample_key: Sequence[str], count_col: str, to
     Totals are aggregated and joined back: unlike a window this never brings
     the rows of a large sample together.
     """
-    key = list(sample_key)
     totals = (
-        rows.groupBy(*key)
+        rows.groupBy(*sample_key)
         .agg(*_partial_sum(F.col(count_col).cast("double"), "_total"))
-        .select(
-            whole(key).alias("_key"),
-            F.when(F.col("_total_missing") == 0, F.col("_total")).alias(total),
-        )
+        .withColumn(total, F.when(F.col("_total_missing") == 0, F.col("_total")))
     )
-    return rows.join(totals, whole(key) == F.col("_key")).drop("_key")
+    return null_safe_join(rows, totals, sample_key, "inner", [total])

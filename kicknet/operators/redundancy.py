@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, whole
-from kicknet.operators.matching import anti_join_all, keep_first
+from kicknet.operators.matching import anti_join_all, keep_first, null_safe_join
 from kicknet.operators.taxa import CLASS, FAMILY, GENUS, GROUP, NAME, ORDER, PHYLUM, TRIBE
 
 # rank that must be missing -> rank whose value is counted once
@@ -98,7 +98,7 @@ def _first_row_marks(
         marks.select(
             *sample_key, *[F.col("_first")[c].alias(c) for c in body], "_rule", "_is_leader"
         )
-        .groupBy(whole(content).alias("_content"))
+        .groupBy(*content)
         .agg(
             any_true(F.col("_rule") == TRIBE).alias("_tribe_first"),
             any_true(F.col("_rule") == FAMILY).alias("_family_first"),
@@ -133,9 +133,6 @@ def drop_redundant(
         | (at_family() & ~marked("_family_first") & ~marked("_tribe_first"))
         | marked("_rank_spare")
     )
-    kept = (
-        open_rows.join(marks, whole(content) == F.col("_content"), "left")
-        .where(~redundant)
-        .select(*rows.columns)
-    )
+    names = ["_tribe_first", "_family_first", "_rank_spare"]
+    kept = null_safe_join(open_rows, marks, content, "left", names).where(~redundant).drop(*names)
     return rows.where(~coarse).unionByName(kept)

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kicknet.functions.missing import whole
-from kicknet.operators.matching import repeat_rows
+from kicknet.operators.matching import null_safe_join, repeat_rows, shuffle_partitions
 
 # Fixed value: individuals a sample is reduced to
 TARGET = 360
@@ -68,25 +67,23 @@ def rarefy(
     kind = [c for c in df.columns if c != count_col]
     count = _checked(F.col(count_col).cast("double"))
     totals = df.groupBy(*key).agg(F.sum(count).alias("_total"))
-    match = whole(key) == F.col("_key")
+    passed = null_safe_join(df, totals.where(F.col("_total") <= target), key, "left_semi")
 
-    small = totals.where(F.col("_total") <= target).select(whole(key).alias("_key"))
-    passed = df.join(small, match, "left_semi")
-
-    large = totals.where(F.col("_total") > target).select(whole(key).alias("_key"))
-    kinds = (
+    whole_counts = (
         df.groupBy(*kind)
         .agg(F.sum(F.floor(count)).cast("long").alias("_n"))
         .where(F.col("_n") >= 1)
-        .join(large, match, "left_semi")
-        .withColumn("_kind", kind_hash(kind))
+    )
+    large = totals.where(F.col("_total") > target)
+    kinds = null_safe_join(whole_counts, large, key, "left_semi").withColumn(
+        "_kind", kind_hash(kind)
     )
     numbers = F.sequence(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(target).cast("long")))
     gap = _waiting_time(seed) / (F.col("_n") - F.col("_number") + 1)
     in_kind = Window.partitionBy(*kind).orderBy("_number")
     # spread by kind before the numbers are written out, so the running sum needs no further shuffle
     times = (
-        kinds.repartition(*kind)
+        kinds.repartition(shuffle_partitions(df), *kind)
         .withColumn("_number", F.explode(numbers))
         .withColumn("_gap", gap)
         .withColumn("_time", F.sum("_gap").over(in_kind.rowsBetween(Window.unboundedPreceding, 0)))

@@ -19,6 +19,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "16g") ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("kicknet")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
