@@ -19,7 +19,9 @@ def whole(columns: Sequence[str], parent: str | None = None) -> Column:
     Structs compare field by field with null equal to null, so ``whole(a) ==
     whole(b)`` is a null-safe match that Spark still plans as an equi-join.
     """
-    return F.struct(*[(F.col(parent)[c] if parent else F.col(c)).alias(c) for c in columns])
+    prefix = f"{parent}." if parent else ""
+    fields = ", ".join(f"{prefix}`{c}` as `{c}`" for c in columns)
+    return F.expr(f"struct({fields})")
 
 
 def any_true(flag: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, divide, spreading_sum, whole
-from kicknet.operators.matching import null_safe_join, repeat_rows
+from kicknet.operators.matching import null_safe_join, repeat_spread
 
 RPKC, DPAC, APTC = "RPKC-S", "DPAC-S", "APTC-S"
 METHODS = (RPKC, DPAC, APTC)
@@ -103,25 +103,29 @@ def _proportional_lines(df: DataFrame, group, ranks, count: Column) -> DataFrame
     return _walk(lines, group, ranks, receive)
 
 
-def _largest_lines(df: DataFrame, group, ranks, count: Column, order: list[str], seed) -> DataFrame:
+def _copies(df: DataFrame, to_filter: bool, ranks: list[str]) -> DataFrame:
+    """Distinct rows and how often each occurs; those without any rank only if they stay."""
+    if to_filter:
+        df = df.where(_level(ranks).isNotNull())
+    return df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+
+
+def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, seed) -> DataFrame:
     """``_top``: the largest row of each line, and ``_extra``: what that row receives.
 
     Counts are not negative, so a row that has received stays the largest of
     its line and no other row of the line ever receives. Ties between equal
-    counts go by a hash of the group, the order columns and the seed. Rows that
-    agree in every column are counted as copies (``_top.copies``).
+    counts go by a hash of the group, the order columns and the seed. ``rest``
+    are the columns that tell the rows of a line apart.
     """
-    columns = order + [c for c in df.columns if c not in order]
     tie = F.md5(
         F.concat_ws("|", *[F.col(c).cast("string") for c in [*group, *order]], F.lit(str(seed)))
     )
     usable = F.col("_count").isNotNull() & ~F.isnan("_count")
     negative = F.raise_error(F.lit(f"{APTC} needs counts that are not negative"))
     lines = (
-        df.withColumn("_level", _level(ranks))
+        rows.withColumn("_level", _level(ranks))
         .where("_level is not null")
-        .groupBy(*columns, "_level")
-        .agg(F.count("*").alias("_copies"))
         .withColumn("_count", F.when(count < 0, negative.cast("double")).otherwise(count))
         .groupBy(*group, *ranks, "_level")
         .agg(
@@ -133,8 +137,7 @@ def _largest_lines(df: DataFrame, group, ranks, count: Column, order: list[str],
                     F.struct(
                         (-F.col("_count")).alias("rank"),
                         tie.alias("tie"),
-                        whole(columns).alias("row"),
-                        F.col("_copies").alias("copies"),
+                        whole(rest).alias("row"),
                     ),
                 )
             ).alias("_top"),
@@ -194,32 +197,31 @@ def _resolve_dpac(df, group, ranks, count, to_filter) -> DataFrame:
 
 def _resolve_aptc(df, group, ranks, count, to_filter, order, seed) -> DataFrame:
     key, columns = group + ranks, df.columns
-    lines = _largest_lines(df, group, ranks, count, order, seed)
-    receiver = F.col("_extra").isNull() | (F.col("_extra") != 0)
-    receiving = lines.withColumn("_receiver", F.when(receiver, F.col("_top.row")))
-    joined = null_safe_join(
-        df, receiving, key, "inner" if to_filter else "left", ["_keep", "_receiver"]
-    )
-    keep = F.coalesce(F.col("_keep"), F.lit(False))
-    row_order = order + [c for c in columns if c not in order]
-    is_receiver = F.coalesce(whole(row_order) == F.col("_receiver"), F.lit(False))
-    others = joined.where(~is_receiver)
+    rest = [c for c in order if c not in key]
+    rest += [c for c in columns if c not in key and c not in rest]
+    rows = _copies(df, to_filter, ranks)
+    lines = _largest_lines(rows, group, ranks, count, order, rest, seed)
+    receives = F.col("_extra").isNull() | (F.col("_extra") != 0)
+    lines = lines.withColumn("_receiver", F.when(F.col("_keep") & receives, F.col("_top.row")))
     if to_filter:
-        others = others.where("_keep")
-    else:
-        others = others.withColumn("is_ambiguous", ~keep)
-    others = others.withColumn("new_count", count).drop("_keep", "_receiver")
+        lines = lines.where("_keep")
+    carried = ["_keep", "_receiver", "_extra"]
+    joined = null_safe_join(rows, lines, key, "inner" if to_filter else "left", carried)
+    joined = joined.select(
+        *columns,
+        "_copies",
+        F.coalesce(F.col("_keep"), F.lit(False)).alias("_keep"),
+        F.coalesce(whole(rest) == F.col("_receiver"), F.lit(False)).alias("_receives"),
+        "_extra",
+    )
     # of several copies of a receiving row exactly one receives
-    receivers = repeat_rows(
-        lines.where(F.col("_keep") & receiver), F.col("_top.copies"), "_copy"
-    ).select(
-        *[F.col("_top.row")[c].alias(c) for c in columns],
-        F.when(F.col("_copy") == 1, F.col("_extra")).otherwise(0.0).alias("_extra"),
+    gains = F.col("_receives") & (F.col("_copy") == 1)
+    resolved = repeat_spread(joined, F.col("_copies"), "_copy").withColumn(
+        "new_count", F.when(gains, count + F.col("_extra")).otherwise(count)
     )
     if not to_filter:
-        receivers = receivers.withColumn("is_ambiguous", F.lit(False))
-    receivers = receivers.withColumn("new_count", count + F.col("_extra")).drop("_extra")
-    return others.unionByName(receivers)
+        resolved = resolved.withColumn("is_ambiguous", ~F.col("_keep"))
+    return resolved.drop("_copies", "_copy", "_keep", "_receives", "_extra")
 
 
 def resolve_ambiguous(

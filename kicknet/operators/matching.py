@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,23 +55,19 @@ def null_safe_join(
     """
     types = {f.name: f.dataType for f in left.schema}
     other = {f.name: f.dataType for f in right.schema}
-
-    def hashed(c: str) -> Column:
-        # adding 0 makes -0.0 and 0.0 the same bits
-        return F.col(c) + F.lit(0.0) if isinstance(types[c], T.DoubleType) else F.col(c)
-
-    alike = [c for c in columns if types[c] == other[c]]
-    key = F.xxhash64(*[hashed(c) for c in alike]) if alike else F.lit(0)
-    keyed = left.withColumn("_left_hash", key)
-    match = right.select(
-        key.alias("_right_hash"), *[F.col(c).alias(f"_right_{c}") for c in columns], *carry
+    # adding 0 makes -0.0 and 0.0 the same bits
+    hashed = [
+        f"`{c}` + 0d" if isinstance(types[c], T.DoubleType) else f"`{c}`"
+        for c in columns
+        if types[c] == other[c]
+    ]
+    key = f"xxhash64({', '.join(hashed)})" if hashed else "0L"
+    keyed = left.selectExpr("*", f"{key} as _left_hash")
+    match = right.selectExpr(
+        f"{key} as _right_hash", *[f"`{c}` as `_right_{c}`" for c in columns], *carry
     )
-    condition = reduce(
-        lambda a, b: a & b,
-        [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in columns],
-        F.col("_left_hash") == F.col("_right_hash"),
-    )
-    joined = keyed.join(match, condition, how)
+    pairs = [f"`{c}` <=> `_right_{c}`" for c in columns]
+    joined = keyed.join(match, F.expr(" and ".join(["_left_hash = _right_hash", *pairs])), how)
     return joined.select(*left.columns, *([] if how in ("left_semi", "left_anti") else carry))
 
 
@@ -103,30 +98,32 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) ->
     )
 
 
-def repeat_rows(df: DataFrame, times: Column, number: str, chunk: int = REPEAT_CHUNK) -> DataFrame:
+def repeat_spread(df: DataFrame, times: Column, number: str, chunk: int = REPEAT_CHUNK) -> DataFrame:
     """Each row ``times`` times, numbered from 1 in column ``number``; none if below 1.
 
-    A row repeated more than ``chunk`` times is first cut into spans that are
-    spread over the cluster, so no task writes out one huge row alone.
+    Rows are cut into spans of ``chunk`` repeats that are spread over the
+    cluster, so no task writes out one huge row alone.
     """
-    counted = df.withColumn("_times", times.cast("long"))
-    few = counted.where(F.col("_times").between(1, chunk)).withColumn(
-        number, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+    spans = F.expr(f"sequence(0L, (_times - 1) div {chunk})")
+    numbers = F.expr(
+        f"sequence(_span * {chunk} + 1, least(_times, (_span + 1) * {chunk}))"
     )
-    span = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / chunk))
-    many = (
-        counted.where(F.col("_times") > chunk)
-        .withColumn("_span", F.explode(span))
+    return (
+        df.withColumn("_times", times.cast("long"))
+        .where("_times >= 1")
+        .withColumn("_span", F.explode(spans))
         .repartition(shuffle_partitions(df))
-        .withColumn(
-            number,
-            F.explode(
-                F.sequence(
-                    F.col("_span") * chunk + 1,
-                    F.least(F.col("_times"), (F.col("_span") + 1) * chunk),
-                )
-            ),
-        )
-        .drop("_span")
+        .withColumn(number, F.explode(numbers))
+        .drop("_times", "_span")
+    )
+
+
+def repeat_rows(df: DataFrame, times: Column, number: str, chunk: int = REPEAT_CHUNK) -> DataFrame:
+    """As ``repeat_spread``, where few rows are repeated often: only those are shuffled."""
+    counted = df.withColumn("_repeats", times.cast("long"))
+    few = counted.where(F.col("_repeats").between(1, chunk))
+    few = few.withColumn(number, F.explode(F.expr("sequence(1L, _repeats)")))
+    many = repeat_spread(
+        counted.where(F.col("_repeats") > chunk), F.col("_repeats"), number, chunk
     )
-    return few.unionByName(many).drop("_times")
+    return few.unionByName(many).drop("_repeats")
