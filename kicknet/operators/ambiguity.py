@@ -115,11 +115,12 @@ def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, se
 
     Counts are not negative, so a row that has received stays the largest of
     its line and no other row of the line ever receives. Ties between equal
-    counts go by a hash of the group, the order columns and the seed. ``rest``
-    are the columns that tell the rows of a line apart.
+    counts go by a hash of the group, the order columns (all columns without
+    any) and the seed. ``rest`` are the columns that tell the rows of a line apart.
     """
+    told_apart = [*group, *(order or [*ranks, *rest])]
     tie = F.md5(
-        F.concat_ws("|", *[F.col(c).cast("string") for c in [*group, *order]], F.lit(str(seed)))
+        F.concat_ws("|", *[F.col(c).cast("string") for c in told_apart], F.lit(str(seed)))
     )
     usable = F.col("_count").isNotNull() & ~F.isnan("_count")
     negative = F.raise_error(F.lit(f"{APTC} needs counts that are not negative"))
@@ -151,6 +152,7 @@ def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, se
             (F.col("_top.rank") - extra).alias("rank"),
             F.col("_top.tie").alias("tie"),
             F.col("_top.row").alias("row"),
+            whole(ranks).alias("line"),
         )
         unusable = F.col("_unusable") | extra.isNull() | F.isnan(extra)
         gets = F.col("_takes") & ~F.col("_blocked") & (running == F.col("_largest"))
