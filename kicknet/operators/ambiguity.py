@@ -33,7 +33,8 @@ def _level(ranks: Sequence[str]) -> Column:
 
 
 def _over(group: Sequence[str], rank: str):
-    return Window.partitionBy(*group, rank)
+    # led by a hash, the sort of the window compares one number for most pairs of lines
+    return Window.partitionBy(F.xxhash64(*group, rank), *group, rank)
 
 
 def _sum_where(flag: Column, value: Column, window) -> Column:
@@ -42,22 +43,24 @@ def _sum_where(flag: Column, value: Column, window) -> Column:
     return F.when(missing == 0, F.sum(F.when(flag, value)).over(window))
 
 
-def _walk(lines: DataFrame, group: list[str], ranks: list[str], receive=None) -> DataFrame:
+def _walk(lines: DataFrame, group: list[str], ranks: list[str], look=None, receive=None):
     """Decide ``_keep`` level by level, from the second rank up.
 
-    ``receive(rank, parents, window)`` gives the columns that change when kept
-    lines take over the count of the parents they share the rank value with.
-    The lines are spread by group once; every level's window fits that.
+    ``look(rank, parent, window)`` names what has to be known of the lines that
+    share a rank value, ``receive`` are the columns that change when kept lines
+    take over the count of the parents among them. The lines are spread by
+    group once; every level is one window that fits that.
     """
     lines = lines.repartition(*group).withColumn("_keep", F.col("_level") == 1)
     for number, rank in enumerate(ranks[1:], 2):
         window = _over(group, rank)
         parent = F.col("_level") == number
-        lines = lines.withColumn("_has_child", F.max("_keep").over(window))
-        if receive:
-            lines = receive(lines, rank, parent, window)
-        lines = lines.withColumn("_keep", F.col("_keep") | (parent & ~F.col("_has_child")))
-    return lines.drop("_has_child")
+        seen = {"_has_child": F.max("_keep").over(window)}
+        if look:
+            seen.update(look(rank, parent, window))
+        keep = F.col("_keep") | (parent & ~F.col("_has_child"))
+        lines = lines.withColumns(seen).withColumns({**(receive or {}), "_keep": keep}).drop(*seen)
+    return lines
 
 
 def _takes_over(rank: str, parent: Column, window) -> Column:
@@ -86,21 +89,17 @@ def _proportional_lines(df: DataFrame, group, ranks, count: Column) -> DataFrame
         .withColumn("_factor", F.lit(1.0))
     )
 
-    def receive(lines, rank, parent, window):
+    def look(rank, parent, window):
         held = F.col("_count") * F.col("_factor")
-        growth = divide(F.col("_given"), F.col("_held")) + 1
-        return lines.withColumns(
-            {
-                "_takes": _takes_over(rank, parent, window),
-                "_given": _sum_where(parent, F.col("_count"), window),
-                "_held": _sum_where(F.col("_keep"), held, window),
-            }
-        ).withColumn(
-            "_factor",
-            F.when(F.col("_takes"), F.col("_factor") * growth).otherwise(F.col("_factor")),
-        )
+        return {
+            "_takes": _takes_over(rank, parent, window),
+            "_given": _sum_where(parent, F.col("_count"), window),
+            "_held": _sum_where(F.col("_keep"), held, window),
+        }
 
-    return _walk(lines, group, ranks, receive)
+    grown = F.col("_factor") * (divide(F.col("_given"), F.col("_held")) + 1)
+    factor = F.when(F.col("_takes"), grown).otherwise(F.col("_factor"))
+    return _walk(lines, group, ranks, look, {"_factor": factor})
 
 
 def _copies(df: DataFrame, to_filter: bool, ranks: list[str]) -> DataFrame:
@@ -146,26 +145,26 @@ def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, se
         .withColumn("_extra", F.lit(0.0))
     )
 
-    def receive(lines, rank, parent, window):
-        extra = F.col("_extra")
-        running = F.struct(
-            (F.col("_top.rank") - extra).alias("rank"),
-            F.col("_top.tie").alias("tie"),
-            F.col("_top.row").alias("row"),
-            whole(ranks).alias("line"),
-        )
-        unusable = F.col("_unusable") | extra.isNull() | F.isnan(extra)
-        gets = F.col("_takes") & ~F.col("_blocked") & (running == F.col("_largest"))
-        return lines.withColumns(
-            {
-                "_takes": _takes_over(rank, parent, window),
-                "_given": _sum_where(parent, F.col("_count"), window),
-                "_blocked": F.max(F.col("_keep") & unusable).over(window),
-                "_largest": F.min(F.when(F.col("_keep"), running)).over(window),
-            }
-        ).withColumn("_extra", F.when(gets, extra + F.col("_given")).otherwise(extra))
-
-    return _walk(lines, group, ranks, receive)
+    extra = F.col("_extra")
+    running = F.struct(
+        (F.col("_top.rank") - extra).alias("rank"),
+        F.col("_top.tie").alias("tie"),
+        F.col("_top.row").alias("row"),
+        whole(ranks).alias("line"),
+    )
+    unsure = F.col("_unusable") | extra.isNull() | F.isnan(extra)
+
+    def look(rank, parent, window):
+        return {
+            "_takes": _takes_over(rank, parent, window),
+            "_given": _sum_where(parent, F.col("_count"), window),
+            "_blocked": F.max(F.col("_keep") & unsure).over(window),
+            "_largest": F.min(F.when(F.col("_keep"), running)).over(window),
+        }
+
+    gets = F.col("_takes") & ~F.col("_blocked") & (running == F.col("_largest"))
+    gained = F.when(gets, extra + F.col("_given")).otherwise(extra)
+    return _walk(lines, group, ranks, look, {"_extra": gained})
 
 
 def _resolve_rpkc(df, group, ranks, to_filter) -> DataFrame:
