@@ -26,21 +26,22 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def broadcast_if_small(
     df: DataFrame,
+    source: DataFrame | None = None,
     max_rows: int = BROADCAST_MAX_ROWS,
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Mark a table for broadcast only if its measured size is within both bounds.
 
-    The measurement reads at most ``max_rows + 1`` rows. A larger table comes
-    back unmarked: the join is then a shuffled one, whose hot keys adaptive
-    execution splits.
+    ``source`` is a table the other one is made from by a costlier step: if that
+    alone has too many rows, the step is not run for its size. A larger table
+    comes back unmarked: the join is then a shuffled one, whose hot keys
+    adaptive execution splits.
     """
-    text = F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in df.columns])
-    rows, size = (
-        df.limit(max_rows + 1)
-        .agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)))
-        .first()
-    )
+    if source is not None and source.count() > max_rows:
+        return df
+    columns = ", ".join(f"cast(`{c}` as string)" for c in df.columns)
+    size = f"coalesce(sum(octet_length(concat_ws('', {columns}))), 0)"
+    rows, size = df.selectExpr("count(*)", size).first()
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 

@@ -139,7 +139,7 @@ def standardize_taxa(
     by_record = F.col("_obs_id").eqNullSafe(F.col("_record_id"))
     obs = obs.withColumnRenamed(ID, "_obs_id")
     if identified_only:
-        known = broadcast_if_small(crosswalk(taxa, overrides, chain, taxa_order))
+        known = broadcast_if_small(crosswalk(taxa, overrides, chain, taxa_order), source=taxa)
         return obs.join(known, by_record, "inner").select(*columns)
     records = broadcast_if_small(_records(taxa, overrides, chain, taxa_order))
     standards = broadcast_if_small(_standards(taxa, taxa_order))

@@ -13,7 +13,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     Only a session without one, as in tests, gets a temporary folder.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="kicknet-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -76,7 +76,7 @@ def literal_standard(obs, taxa_df, overrides, chain, identified_only):
 @pytest.mark.parametrize("small", [True, False])
 def test_standardised_rows_equal_two_joins(spark, monkeypatch, preset, identified_only, small):
     if not small:
-        monkeypatch.setattr(matching.broadcast_if_small, "__defaults__", (0, 0))
+        monkeypatch.setattr(matching.broadcast_if_small, "__defaults__", (None, 0, 0))
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         ids = [1.0, 2.0, 4.0, 4.0, 5.0, 6.0, 7.0, 99.0, None]
