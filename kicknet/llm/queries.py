@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat
+from kicknet.llm import chat, shingle_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,44 @@ select conv_id, count(*) as n_turns,
 from r group by conv_id
 """
 
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents joined by sets of 3-word shingles that are 90 % alike."""
+    docs = table(spark, sf_dir, "documents")
+    return shingle_join.jaccard_components(docs, width=3, percent=90)
+
+
+def shingle_group_sql(source: str, width: int, percent: int) -> str:
+    """Table expressions ending in `grouped` (doc_id, n_shingles, component_id) over `source`."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+words as (select doc_id, regexp_extract_all(
+    translate(coalesce("text", ''), '{capitals}', '{capitals.lower()}'), '[^\x20\x09-\x0D]+') as w
+  from {source}),
+shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {width} then [w]
+    else list_transform(range(1, len(w) - {width} + 2), lambda i: w[i:i + {width - 1}]) end) as s
+  from words),
+sized as (select doc_id, count(*) as n from shingles group by doc_id),
+met as (select a.doc_id as x, b.doc_id as y, count(*) as k
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+linked as (select x, y from met join sized p on p.doc_id = x join sized q on q.doc_id = y
+  where 100 * k >= {percent} * (p.n + q.n - k)),
+edges as (select x, y from linked union all select y, x from linked),
+reached(x, y) as (select x, y from edges union select r.x, e.y from reached r join edges e on r.y = e.x),
+grouped as (select d.doc_id, coalesce(any_value(sized.n), 0) as n_shingles,
+    least(d.doc_id, coalesce(min(reached.y), d.doc_id)) as component_id
+  from {source} d left join sized on sized.doc_id = d.doc_id left join reached on reached.x = d.doc_id
+  group by d.doc_id)"""
+
+
+OP8_SQL = f"""with recursive {shingle_group_sql("documents", 3, 90)}
+select doc_id, n_shingles, component_id from grouped"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op8_jaccard_join": op8_jaccard_join,
+}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
