@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, shingle_join
+from kicknet.llm import chat, repeats, shingle_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,8 +95,21 @@ grouped as (select d.doc_id, coalesce(any_value(sized.n), 0) as n_shingles,
 OP8_SQL = f"""with recursive {shingle_group_sql("documents", 3, 90)}
 select doc_id, n_shingles, component_id from grouped"""
 
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document without the passages that an earlier document has."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_jaccard_join": op8_jaccard_join,
 }
 ORACLES: dict[str, str] = {
