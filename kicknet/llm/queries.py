@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, repeats, shingle_join
+from kicknet.llm import chat, repeats, shingle_join, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,12 +107,34 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with one label and a cosine of at least 0.93."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """with recursive
+good as (select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges as (select a.vec_id as x, b.vec_id as y from good a join good b
+  on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reached(x, y) as (select x, y from edges union select r.x, e.y from reached r join edges e on r.y = e.x),
+placed as (select e.vec_id, (select count(*) from edges where x = e.vec_id) as n_links,
+  least(e.vec_id, coalesce((select min(y) from reached where x = e.vec_id), e.vec_id)) as component_id
+  from embeddings e)
+select *, vec_id = component_id as kept from placed"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_near_vectors": op10_near_vectors,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op10_near_vectors": OP10_SQL,
 }
