@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, repeats, shingle_join, vectors
+from kicknet.llm import chat, pieces, repeats, shingle_join, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of tokenizer files and the model that the queries use.
+TOKENIZERS = os.environ.get("KICKNET_TOKENIZERS", "/opt/tokenizers")
+
+
+@cache
+def piece_model() -> bytes:
+    return pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -127,8 +138,23 @@ placed as (select e.vec_id, (select count(*) from edges where x = e.vec_id) as n
   from embeddings e)
 select *, vec_id = component_id as kept from placed"""
 
+
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded from its ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = pieces.encode_texts(docs, piece_model(), decode=True)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        pieces.ids_digest(F.col("ids")).alias("ids_sha256"),
+        (F.col("decoded") == F.col("text")).alias("same_text"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_near_vectors": op10_near_vectors,
