@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, pieces, repeats, shingle_join, vectors
+from kicknet.llm import chat, main_text, pieces, repeats, shingle_join, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,9 +152,17 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op5_main_text": op5_main_text,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_near_vectors": op10_near_vectors,
