@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, main_text, pieces, repeats, shingle_join, vectors
+from kicknet.llm import chat, decontam, main_text, pieces, repeats, shingle_join, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,7 +159,22 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+
+def op1_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, one row per document and item."""
+    found = decontam.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.groupBy("doc_id", "item_id").agg(
+        F.countDistinct("start", "n_tokens").alias("n_places"),
+        F.max("n_equal").alias("n_equal"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.min("start").alias("first_start"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_contaminated": op1_contaminated,
     "op2_chat_format": op2_chat_format,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op5_main_text": op5_main_text,
