@@ -9,7 +9,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, decontam, main_text, pieces, repeats, shingle_join, vectors
+from kicknet.llm import chat, decontam, main_text, pieces, repeats, shingle_join, toxicity, vectors
+from kicknet.llm.labelled import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,11 +174,32 @@ def op1_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def judged(scores: DataFrame, least: float) -> DataFrame:
+    """Scores with held_out and predicted added."""
+    return scores.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+        *(c for c in scores.columns if c not in ("doc_id", "score")),
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document and the number of its offending spans."""
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scores = toxicity.score(docs, field)
+    return judged(scores.withColumn("n_spans", F.size("spans").cast("long")).drop("spans"), 0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_contaminated": op1_contaminated,
     "op2_chat_format": op2_chat_format,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op5_main_text": op5_main_text,
+    "op6_toxicity": op6_toxicity,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_near_vectors": op10_near_vectors,
