@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, decontam, main_text, pieces, repeats, shingle_join, toxicity, vectors
+from kicknet.llm import chat, decontam, main_text, pieces, quality, repeats, shingle_join, toxicity, vectors
 from kicknet.llm.labelled import held_out
 
 
@@ -194,10 +194,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(scores.withColumn("n_spans", F.size("spans").cast("long")).drop("spans"), 0.5)
 
 
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    network = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return judged(quality.score(docs, network), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_contaminated": op1_contaminated,
     "op2_chat_format": op2_chat_format,
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op4_quality": op4_quality,
     "op5_main_text": op5_main_text,
     "op6_toxicity": op6_toxicity,
     "op7_repeated_passages": op7_repeated_passages,
