@@ -190,7 +190,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document and the number of its offending spans."""
     docs = table(spark, sf_dir, "documents")
     field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scores = toxicity.score(docs, field)
+    scores = toxicity.score(docs.select("doc_id", "text"), field).drop("text")
     return judged(scores.withColumn("n_spans", F.size("spans").cast("long")).drop("spans"), 0.5)
 
 

@@ -3,7 +3,7 @@
 Prefix-free parsing cut to the depth that is needed. A byte goes if it is covered by a
 string of `length` bytes (50) that also starts in a document with a smaller id.
 
-1. *Parse.* A rolling hash over `gram` bytes (16) sets triggers: the smallest hash
+1. *Parse.* A rolling hash over `gram` bytes (20) sets triggers: the smallest hash
    within each string of 50 bytes. Equal strings have the same trigger at the same
    place, wherever they occur. A phrase is all strings in a row with one trigger, so it
    overlaps the next by 49 bytes: every string lies in exactly one phrase, and the
@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kicknet.llm.graph import cut
+from kicknet.llm.graph import cut, drop
 from kicknet.llm.texts import SpanHash, int64, slices
 
-LENGTH, GRAM, ROUNDS = 50, 16, 2
+LENGTH, GRAM, ROUNDS = 50, 20, 2
 #: A place is one number: 22 bits of the text's hash, 36 of the start, 6 of the count.
 _START_BITS, _COUNT_BITS = 36, 6
 
@@ -185,17 +185,18 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             [pa.array(begin - offsets[of]), pa.array(end - begin)], ["start", "length"]
         )
         stays = ~gone
+        names = [n for n in rows.schema.names if n not in ("text", "places")]
         kept = np.concatenate([[0], np.cumsum(stays)])[offsets].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                *(rows.column(i) for i in range(rows.num_columns) if rows.schema.names[i] != "places"),
+                *(rows.column(rows.schema.get_field_index(n)) for n in names),
                 pa.Array.from_buffers(
                     pa.binary(), rows.num_rows, [None, pa.py_buffer(kept), pa.py_buffer(data[stays].tobytes())]
                 ),
                 pa.array(np.diff(offsets)),
                 pa.ListArray.from_arrays(pa.array(span_ends), pairs),
             ],
-            [*(n for n in rows.schema.names if n != "places"), "kept", "n_bytes", "spans"],
+            [*names, "kept", "n_bytes", "spans"],
         )
 
 
@@ -229,6 +230,8 @@ def repeated_places(
         mixed = found.where("differ").select("h", "x", "doc", "place")
         first = mixed.groupBy("h", "x").agg(F.min("doc").alias("first"))
         placed = cut(mixed.join(first, ["h", "x"]))
+        whole[-1] = cut(whole[-1])
+        drop(found)
         whole.append(placed.where("doc > first").select("doc", "place"))
         firsts.append(placed.where("doc = first").select("h", "doc", "place"))
 
@@ -245,13 +248,14 @@ def repeated_places(
         F.col("asked.h").alias("triggers"),
         F.col("asked.place").alias("places"),
     )
+    drop(triggers)
     phrase = cut(
         docs.join(asked, "doc_id").mapInArrow(
             lambda it: _suffixes(it, length), "h long, doc long, place long, strings array<long>"
         )
     )
-    for part in range(rounds):
-        strings = phrase.where(F.pmod("h", F.lit(rounds)) == part).select(
+    for part in range(2 * rounds):
+        strings = phrase.where(F.pmod("h", F.lit(2 * rounds)) == part).select(
             "h", "doc", "place", F.posexplode("strings").alias("i", "s")
         )
         earliest = strings.groupBy("h", "s").agg(
@@ -271,6 +275,7 @@ def repeated_places(
                 )
             )
         )
+    drop(phrase)
     return union(whole).groupBy("doc").agg(F.collect_list("place").alias("places"))
 
 
@@ -281,22 +286,47 @@ def without_repeats(
     length: int = LENGTH,
     gram: int = GRAM,
     rounds: int = ROUNDS,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, `kept` (binary), n_bytes and `spans` (start, length; bytes) of every row."""
+    """doc_id, the columns in `also`, `kept` (binary), n_bytes and `spans` of every row.
+
+    `spans` are the removed runs (start, length; bytes).
+    """
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        *(F.col(c) for c in also),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    places = cut(repeated_places(texts, length, gram, rounds)).select(
-        F.col("doc").alias("doc_id"), "places"
-    )
+    places = repeated_places(texts.select("doc_id", "text"), length, gram, rounds)
+    places = cut(places.withColumnRenamed("doc", "doc_id"))
+    none = F.expr("cast(array() as array<long>)")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("text").schema)
     return (
         texts.join(places, "doc_id", "left")
-        .select("doc_id", "text", F.coalesce("places", F.expr("cast(array() as array<long>)")).alias("places"))
+        .withColumn("places", F.coalesce("places", none))
         .mapInArrow(
             lambda it: _spans(it, length),
-            "doc_id long, text string, kept binary, n_bytes long, "
-            "spans array<struct<start:long,length:long>>",
+            f"{kept}, kept binary, n_bytes long, spans array<struct<start:long,length:long>>",
         )
-        .drop("text")
+    )
+
+
+def as_text(kept: pa.Array) -> pa.Array:
+    """Bytes as text, without the parts of characters that a cut has left."""
+    return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+
+
+def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows with their texts less the repeated passages."""
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    out = without_repeats(docs, id_col, text_col, also=rest, **options).drop("n_bytes", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], as_text(batch.columns[-1])], [*batch.schema.names[:-1], "text"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.drop("kept").schema)
+    named = out.mapInArrow(run, f"{schema}, text string")
+    return named.select(
+        *(F.col({id_col: "doc_id", text_col: "text"}.get(c, c)).alias(c) for c in docs.columns)
     )

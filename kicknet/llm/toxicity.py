@@ -249,8 +249,8 @@ def _scored(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Reco
             [pa.array(begin - offsets[of]), pa.array(end - begin)], ["start", "length"]
         )
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(1 - np.exp(clean)), pa.ListArray.from_arrays(pa.array(ends), spans)],
-            ["doc_id", "score", "spans"],
+            [*rows.columns, pa.array(1 - np.exp(clean)), pa.ListArray.from_arrays(pa.array(ends), spans)],
+            [*rows.schema.names, "score", "spans"],
         )
 
 
@@ -259,10 +259,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     return train(*sample(docs, labels, label, most))
 
 
-def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and offending spans (start, length; bytes) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(
+def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """The rows with their score and offending spans (start, length; bytes).
+
+    Columns that are called score or spans are replaced.
+    """
+    rest = [c for c in docs.columns if c not in ("score", "spans", text_col)]
+    rows = docs.select(*rest, F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    out = rows.mapInArrow(
         lambda it: _scored(it, field),
-        "doc_id long, score double, spans array<struct<start:long,length:long>>",
+        f"{schema}, score double, spans array<struct<start:long,length:long>>",
     )
+    return out.withColumnRenamed("text", text_col)
