@@ -2,35 +2,67 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the folder of spark.checkpoint.dir and read from there.
 
-    That folder is shared by all executors, so the rows outlive any of them. Where
-    the setting is absent, as in local tests, a folder for the session is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session below spark.checkpoint.dir, which all executors share."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
-    kept = df.checkpoint()
-    gc.collect()  # lets Spark's cleaner remove the shuffle files of finished steps
-    context._jvm.System.gc()
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once as a table in the shared folder and read from there.
+
+    This ends the lineage: a lost executor costs no more than its running tasks. The
+    shuffle files behind the rows are removed at once, the tables when the session
+    ends, or by `drop`.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    remove_at_exit(spark, path)
+    kept = spark.read.schema(schema).parquet(path)
+    kept._table_path = path
     return kept
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def _filesystem(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+        spark.sparkContext._jsc.hadoopConfiguration()
+    )
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder removed when the session's JVM ends."""
+    _filesystem(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by `cut` that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._table_path
+        _filesystem(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -65,8 +97,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        after = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        drop(now)
+        now = after
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(
         roots.select(F.col("root").alias("node"), "root").distinct()
     )
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node joined to each of n nodes by the links (i, j), in memory."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return root

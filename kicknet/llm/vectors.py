@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kicknet.llm.graph import components, cut
+from kicknet.llm.graph import components, cut, forest
 
 TILE = 1024
 #: Ends of the blocks of coordinates; the last block has the rest.
@@ -206,19 +206,6 @@ def linked(
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node joined to each of n nodes by the links (i, j)."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
 def _compare(
     batches: Iterator[pa.RecordBatch], axes: np.ndarray, least: float
 ) -> Iterator[pa.RecordBatch]:
@@ -240,7 +227,7 @@ def _compare(
             links = np.zeros(len(ids), dtype=np.int64)
             np.add.at(links, i, sizes[j])
             np.add.at(links, j, sizes[i])
-            root = _roots(len(ids), i, j)
+            root = forest(len(ids), i, j)
             on = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[on]), pa.array(ids[root[on]]), pa.array(links[on])],
