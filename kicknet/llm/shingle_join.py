@@ -10,7 +10,8 @@ at most D = (n + m) * (100 - p) / (100 + p) shingles that only one set has.
   class, shingles are dealt to D + 1 + s blocks by hash, and at least s + 1 blocks of a
   pair must be equal. A set that is on at most s long lists leaves those out, since
   any partner also shares a short one with it. A set on more long lists stays on all of
-  them. So nothing is lost and common passages make no long scans.
+  them. So nothing is lost and common passages make no long scans. A set that meets
+  others on fewer than s + 1 lists has no partner and is left out.
 - The *boundary* is the one with the least estimated cost for the sizes at hand:
   subsets written against list entries, each of the latter weighed by `LIST_COST`.
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kicknet.llm.graph import components, cut
+from kicknet.llm.graph import components, cut, drop, forest
 from kicknet.llm.texts import LOWER, SpanHash, int64, mix, slices, values, word_spans
 
 #: Largest boundary tried, the widest light set.
@@ -50,6 +51,8 @@ LIST_COST = 4.0
 CLASS_RATIO = 1.4
 #: From so many entries a list counts as long.
 LONG_LIST = 32
+#: Sets in a tile of those that share long lists.
+TILE = 256
 
 
 def shingle_sets(
@@ -252,22 +255,27 @@ def similar_classes(
         for r in members.where(F.col("n").between(1, 2 * MOST_LIGHT)).groupBy("n").count().collect()
     }
     light = choose_boundary(histogram, percent)
-    entries = cut(
+    keys = cut(
         texts.mapInArrow(lambda it: _keys(it, width, percent, light), _schema(KEY_SCHEMA))
         .groupBy("cid", "cls", "spare")
         .agg(F.first("keys").alias("keys"))
-    ).select("cid", "cls", "spare", F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    shared = cut(entries.join(lists, "key"))
-    crowded = (
-        shared.groupBy("cid", "cls", "spare")
-        .agg(F.count_if(F.col("length") >= LONG_LIST).alias("long_lists"))
-        .where("long_lists > spare")
-        .select("cid", "cls")
     )
-    short = shared.where(F.col("length") < LONG_LIST).select("key", "cid")
-    long = shared.where(F.col("length") >= LONG_LIST).join(crowded, ["cid", "cls"], "left_semi")
-    on = cut(short.union(long.select("key", "cid")))
+    shared = keys.select("cid", "cls", "spare", F.explode("keys").alias("key"))
+    for _ in range(2):  # leaving out sets shortens lists
+        lists = shared.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
+        met = cut(shared.select("cid", "cls", "spare", "key").join(lists, "key"))
+        enough = (
+            met.groupBy("cid", "cls", "spare")
+            .agg(F.count("*").alias("met"), F.count_if(F.col("length") >= LONG_LIST).alias("long"))
+            .where("met > spare")
+            .select("cid", "cls", (F.col("long") > F.col("spare")).alias("crowded"))
+        )
+        shared = cut(met.join(enough, ["cid", "cls"])).select(
+            "cid", "cls", "spare", "key", "length", "crowded"
+        )
+        drop(met)
+    drop(keys)
+    on = cut(shared.where((F.col("length") < LONG_LIST) | F.col("crowded")).select("key", "cid"))
     first = on.groupBy("key").agg(F.min("cid").alias("a"))
     pairs = on.join(first, "key").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
     pairs = cut(pairs)
@@ -289,18 +297,108 @@ def similar_classes(
         F.min("cid").alias("a"), F.min("root").alias("low"), F.max("root").alias("high")
     ).where("low != high").select("key", "a")
     left = cut(labelled.join(split, "key"))
-    home = left.where("cid = a").select("key", F.col("root").alias("home")).distinct()
-    astray = left.join(home, "key").where("root != home").select(
+    lengths = left.groupBy("key").agg(F.count("*").alias("length"))
+    sized = cut(left.join(lengths, "key"))
+    drop(left)
+    short = sized.where(F.col("length") < LONG_LIST)
+    home = short.where("cid = a").select("key", F.col("root").alias("home")).distinct()
+    astray = short.join(home, "key").where("root != home").select(
         "key", F.col("cid").alias("p"), F.col("root").alias("p_root")
     )
     more = (
-        left.join(astray, "key")
+        short.join(astray, "key")
         .where("root != p_root and cid != a")
         .select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
         .distinct()
         .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     )
-    return members, links.union(_verified(more, sets, percent))
+    long = sized.where(F.col("length") >= LONG_LIST).select("key", "cid")
+    return members, links.union(_verified(more, sets, percent)).union(
+        _tile_links(long, sets, percent)
+    )
+
+
+def _tile_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among sets that share a list of `entries` (key, cid), for long lists.
+
+    Sets are dealt to tiles by their first key, those with a crowded one to several, and
+    tiles that share a list are compared by one matrix product. A pair of tiles returns each linked set
+    with its root in the links of this pair; pairs of sets are not written.
+    """
+    placed = cut(
+        entries.groupBy("cid").agg(F.min("key").alias("lead"), F.collect_set("key").alias("keys"))
+    )
+    crowds = placed.groupBy("lead").agg(F.ceil(F.count("*") / TILE).alias("parts")).where("parts > 1")
+    several = max(1, -(-placed.count() // TILE))
+    tiles = cut(
+        placed.join(crowds, "lead", "left")
+        .join(sets, "cid")
+        .select(
+            F.when(
+                F.col("parts") > 1, F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts")))
+            )
+            .otherwise(F.pmod(F.xxhash64("lead"), F.lit(several)))
+            .alias("tile"),
+            F.struct("cid", "shingles", "keys").alias("one"),
+        )
+        .groupBy("tile")
+        .agg(F.collect_list("one").alias("all"))
+        .select(
+            "tile",
+            F.array_distinct(F.flatten("all.keys")).alias("keys"),
+            F.col("all.cid").alias("cids"),
+            F.transform("all", lambda x: F.size(x["shingles"])).alias("sizes"),
+            F.flatten("all.shingles").alias("flat"),
+        )
+    )
+    on = tiles.select("tile", F.explode("keys").alias("key"))
+    met = (
+        on.withColumnRenamed("tile", "a")
+        .join(on.withColumnRenamed("tile", "b"), "key")
+        .where("a <= b")
+        .select("a", "b")
+        .distinct()
+    )
+    for side in "ab":
+        met = met.join(
+            tiles.select(
+                F.col("tile").alias(side),
+                *(F.col(c).alias(f"{c}_{side}") for c in ("cids", "sizes", "flat")),
+            ),
+            side,
+        )
+    return met.mapInArrow(lambda it: _compare(it, percent), "a long, b long")
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns))
+        for r in range(batch.num_rows):
+
+            def item(name: str) -> np.ndarray:
+                return columns[name][r].values.to_numpy(zero_copy_only=False)
+
+            sides = [(item(f"sizes_{side}"), item(f"flat_{side}")) for side in "ab"]
+            (na, fa), (nb, fb) = sides
+            both = np.intersect1d(fa, fb)
+            rows = []
+            for sizes, flat in sides:
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.searchsorted(both, flat)
+                at[at == len(both)] = 0
+                hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+                m = np.zeros((len(sizes), len(both)), dtype=np.float32)
+                m[of[hit], at[hit]] = 1
+                rows.append(m)
+            shared = np.rint(rows[0] @ rows[1].T).astype(np.int64)
+            i, j = np.nonzero(shared * 100 >= percent * (na[:, None] + nb[None, :] - shared))
+            ids = np.concatenate([item("cids_a"), item("cids_b")])
+            root = forest(len(ids), i, j + len(na))
+            on = np.flatnonzero(ids != ids[root])
+            if len(on):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[on]), pa.array(ids[root[on]])], ["a", "b"]
+                )
 
 
 def jaccard_components(
