@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import chat, decontam, main_text, pieces, quality, repeats, shingle_join, toxicity, vectors
+from kicknet.llm import chat, decontam, main_text, pieces, quality, repeats, shingle_join, token_counts, toxicity, vectors
 from kicknet.llm.labelled import held_out
 
 
@@ -202,6 +202,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score(docs, network), 0.3)
 
 
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files made of the documents."""
+    return token_counts.document_counts(table(spark, sf_dir, "documents"), piece_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_contaminated": op1_contaminated,
     "op2_chat_format": op2_chat_format,
@@ -211,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_token_counts": op9_token_counts,
     "op10_near_vectors": op10_near_vectors,
 }
 ORACLES: dict[str, str] = {
