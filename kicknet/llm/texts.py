@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once in a task; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,38 +31,37 @@ def values(seed: int, n: int = 256) -> np.ndarray:
     return mix(step + np.uint64(seed * 0x632BE59BD9B4E019 % 2**64))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i up to n."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        n = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(n + 1, b, dtype=np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        have = _POWERS[base] = (both[0], both[1])
-        if n > 8 * CHUNK_BYTES:
-            del _POWERS[base]
-    return have
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i for i up to n at least."""
+    if _powers and len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for b in (BASE, pow(BASE, -1, 2**64)):
+        p = np.full(max(n, CHUNK_BYTES + CHUNK_BYTES // 8) + 1, b, dtype=np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64, out=p))
+    if n <= 4 * CHUNK_BYTES:  # those for one very long text are not kept
+        _powers[:] = made
+    return made[0], made[1]
 
 
 class SpanHash:
     """Hashes of spans [start, end) of one array of bytes or of 64-bit items."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64 | 5
         items = values(seed)[data] if data.dtype == np.uint8 else mix(data + values(seed, 1))
-        powers, self._inverse = _powers(base, len(data))
+        ups, self._downs = powers(len(data))
+        items = items * ups[: len(data)]
         self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(items * powers[: len(data)], out=self._sums[1:])
+        np.cumsum(items, out=self._sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (end - start).astype(np.uint64)
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + length)
+        return mix((self._sums[end] - self._sums[start]) * self._downs[start] + length)
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

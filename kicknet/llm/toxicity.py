@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kicknet.llm.labelled import sample
-from kicknet.llm.texts import LOWER, SpanHash, slices, values
+from kicknet.llm.texts import CHUNK_BYTES, LOWER, SpanHash, slices, values
 
 SAMPLE = 3000
 FEATURE_BITS = 18
@@ -69,10 +69,10 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros((0, 1 + len(PREFIXES)), np.int32), none, none)
     spans = SpanHash(low, 41)
-    features = [spans(start, end) ^ values(50, 1)[0]]
-    for k in PREFIXES:
-        features.append(spans(start, np.minimum(end, start + k)) ^ values(50 + k, 1)[0])
-    index = (np.stack(features, axis=1) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
+    index = np.empty((len(start), 1 + len(PREFIXES)), dtype=np.int32)
+    for i, k in enumerate((0, *PREFIXES)):
+        hashes = spans(start, np.minimum(end, start + k) if k else end) ^ values(50 + k, 1)[0]
+        index[:, i] = hashes >> np.uint64(64 - FEATURE_BITS)
     stops = np.concatenate([[0], np.cumsum(_STOP[low])])
     group = stops[start] + row  # both only grow
     new = np.ones(len(start), dtype=bool)
@@ -159,21 +159,23 @@ def hash_words(words: list[bytes]) -> int:
 def _telling(words: Words, labels: np.ndarray) -> np.ndarray:
     """Which features mark toxic words."""
     size = 2**FEATURE_BITS
-    kinds = words.features.shape[1]
-    flat = words.features.ravel().astype(np.int64)
-    seen = np.unique(np.repeat(words.row, kinds) * size + flat)
-    doc, feature = seen // size, seen % size
-    toxic = labels[doc] == 1
-    in_toxic = np.bincount(feature[toxic], minlength=size)
-    in_clean = np.bincount(feature[~toxic], minlength=size)
+    in_toxic, in_clean = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    of_toxic = []  # (document, feature) of toxic documents
+    for k in range(words.features.shape[1]):
+        seen = np.unique(words.row * size + words.features[:, k])
+        doc, feature = seen // size, seen % size
+        toxic = labels[doc] == 1
+        in_toxic += np.bincount(feature[toxic], minlength=size)
+        in_clean += np.bincount(feature[~toxic], minlength=size)
+        of_toxic.append(seen[toxic])
     n1, n0 = max(1, int(labels.sum())), max(1, int((labels == 0).sum()))
     rate = (in_toxic + 0.5) / (n1 + 1) / ((in_clean + 0.5) / (n0 + 1))
     rare = in_clean <= max(1, 0.002 * n0)
     could = rare & (rate >= 8) & (in_toxic >= 3)
     chosen = could & (in_toxic >= max(8, 0.03 * n1))
     open_docs = np.ones(len(labels), dtype=bool)
-    own = toxic & could[feature]
-    doc, feature = doc[own], feature[own]
+    own = np.concatenate([x[could[x % size]] for x in of_toxic])
+    doc, feature = own // size, own % size
     open_docs[doc[chosen[feature]]] = False
     while True:  # the feature that explains most of the documents left
         left = open_docs[doc]
@@ -185,6 +187,26 @@ def _telling(words: Words, labels: np.ndarray) -> np.ndarray:
         open_docs[doc[feature == best]] = False
 
 
+def _read_all(texts: list[bytes]) -> Words:
+    """Words of many texts, read some at a time."""
+    parts: list[Words] = []
+    at = sequences = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
+            size += len(texts[end])
+            end += 1
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts[at:end]])]).astype(np.int64)
+        part = read_words(np.frombuffer(b"".join(texts[at:end]), np.uint8), offsets)
+        part.row = part.row + at
+        part.sequence = part.sequence + sequences
+        if len(part.sequence):
+            sequences = int(part.sequence[-1]) + 1
+        parts.append(part)
+        at = end
+    return Words(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Words)))
+
+
 def train(texts: list[bytes], labels: list[int]) -> Field:
     """A field fitted to labelled texts."""
     size = 2**FEATURE_BITS
@@ -193,8 +215,7 @@ def train(texts: list[bytes], labels: list[int]) -> Field:
         field.weights -= 30.0
         return field
     texts, y = _distinct(texts, labels)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    words = read_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    words = _read_all(texts)
     marks = _telling(words, y)
     tag = marks[words.features].any(axis=1) & (y[words.row] == 1)
     rng = np.random.default_rng(17)
