@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, divide, spreading_sum, whole
-from kicknet.operators.matching import null_safe_join, repeat_spread
+from kicknet.operators.matching import null_safe_join, repeat_rows
 
 RPKC, DPAC, APTC = "RPKC-S", "DPAC-S", "APTC-S"
 METHODS = (RPKC, DPAC, APTC)
@@ -102,13 +102,6 @@ def _proportional_lines(df: DataFrame, group, ranks, count: Column) -> DataFrame
     return _walk(lines, group, ranks, look, {"_factor": factor})
 
 
-def _copies(df: DataFrame, to_filter: bool, ranks: list[str]) -> DataFrame:
-    """Distinct rows and how often each occurs; those without any rank only if they stay."""
-    if to_filter:
-        df = df.where(_level(ranks).isNotNull())
-    return df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-
-
 def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, seed) -> DataFrame:
     """``_top``: the largest row of each line, and ``_extra``: what that row receives.
 
@@ -129,7 +122,7 @@ def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, se
         .withColumn("_count", F.when(count < 0, negative.cast("double")).otherwise(count))
         .groupBy(*group, *ranks, "_level")
         .agg(
-            spreading_sum(F.col("_count") * F.col("_copies")).alias("_count"),
+            spreading_sum(F.col("_count")).alias("_count"),
             any_true(~usable).alias("_unusable"),
             F.min(
                 F.when(
@@ -200,29 +193,26 @@ def _resolve_aptc(df, group, ranks, count, to_filter, order, seed) -> DataFrame:
     key, columns = group + ranks, df.columns
     rest = [c for c in order if c not in key]
     rest += [c for c in columns if c not in key and c not in rest]
-    rows = _copies(df, to_filter, ranks)
+    rows = df.where(_level(ranks).isNotNull()) if to_filter else df
     lines = _largest_lines(rows, group, ranks, count, order, rest, seed)
     receives = F.col("_extra").isNull() | (F.col("_extra") != 0)
     lines = lines.withColumn("_receiver", F.when(F.col("_keep") & receives, F.col("_top.row")))
     if to_filter:
         lines = lines.where("_keep")
     carried = ["_keep", "_receiver", "_extra"]
-    joined = null_safe_join(rows, lines, key, "inner" if to_filter else "left", carried)
-    joined = joined.select(
+    joined = null_safe_join(rows, lines, key, "inner" if to_filter else "left", carried).select(
         *columns,
-        "_copies",
         F.coalesce(F.col("_keep"), F.lit(False)).alias("_keep"),
         F.coalesce(whole(rest) == F.col("_receiver"), F.lit(False)).alias("_receives"),
         "_extra",
     )
-    # of several copies of a receiving row exactly one receives
-    gains = F.col("_receives") & (F.col("_copy") == 1)
-    resolved = repeat_spread(joined, F.col("_copies"), "_copy").withColumn(
-        "new_count", F.when(gains, count + F.col("_extra")).otherwise(count)
-    )
-    if not to_filter:
-        resolved = resolved.withColumn("is_ambiguous", ~F.col("_keep"))
-    return resolved.drop("_copies", "_copy", "_keep", "_receives", "_extra")
+    added = [] if to_filter else [(~F.col("_keep")).alias("is_ambiguous")]
+    passing = joined.where(~F.col("_receives")).select(*columns, *added, count.alias("new_count"))
+    # few rows equal a receiver; of several copies exactly one receives
+    taking = joined.where("_receives").groupBy(*columns, "_keep", "_extra")
+    taking = repeat_rows(taking.agg(F.count("*").alias("_copies")), F.col("_copies"), "_copy")
+    gained = F.when(F.col("_copy") == 1, count + F.col("_extra")).otherwise(count)
+    return passing.unionByName(taking.select(*columns, *added, gained.alias("new_count")))
 
 
 def resolve_ambiguous(
@@ -249,17 +239,19 @@ def resolve_ambiguous(
     ranks = list(hierarchy_cols)
     if not group or not ranks:
         raise ValueError("group_cols and hierarchy_cols need at least one column each")
-    absent = [c for c in [*group, *ranks, count_col, *order_cols] if c not in df.columns]
+    needed = [*group, *ranks, *order_cols, *([] if method == RPKC else [count_col])]
+    absent = [c for c in needed if c not in df.columns]
     if absent:
         raise ValueError(f"no such column: {', '.join(absent)}")
     taken = {"new_count", "is_ambiguous"} & set(df.columns)
     if taken:
         raise ValueError(f"the input already has {', '.join(sorted(taken))}")
 
-    count = F.col(count_col).cast("double")
     if method == RPKC:
         result = _resolve_rpkc(df, group, ranks, to_filter)
-    elif method == DPAC:
+        return result.select(*group, *[c for c in result.columns if c not in group])
+    count = F.col(count_col).cast("double")
+    if method == DPAC:
         result = _resolve_dpac(df, group, ranks, count, to_filter)
     else:
         result = _resolve_aptc(df, group, ranks, count, to_filter, list(order_cols), seed)

@@ -160,13 +160,15 @@ def assemble_metrics(
     """All metrics, one row per sample.
 
     Missing metrics become 0, also the ones that are missing because a count or
-    a tolerance is; ``strict`` leaves those null and only turns the metrics of
+    a tolerance is, or because all counts are 0; ``strict`` leaves those null and only turns the metrics of
     absent subsets to 0.
     """
     values = []
     for m in metrics:
         value = m.by_sample()
         if strict:
+            if not isinstance(m, Richness):
+                value = F.when(~F.isnan(value), value)  # 0/0, as of a sample without individuals
             value = F.when(m.present(), value).otherwise(0.0)
         elif not isinstance(m, Richness):
             value = zero_if_missing(value)

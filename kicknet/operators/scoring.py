@@ -81,7 +81,9 @@ def score_index(
     for part in parts[1:]:
         total = total + part
     return table.withColumn(INDEX, total / F.lit(float(len(parts)))).withColumn(
-        INDEX, F.when(F.col(INDEX) > INDEX_CAP, INDEX_CAP).otherwise(F.col(INDEX))
+        # NaN sorts above every number
+        INDEX,
+        F.when((F.col(INDEX) > INDEX_CAP) & ~F.isnan(INDEX), INDEX_CAP).otherwise(F.col(INDEX)),
     )
 
 

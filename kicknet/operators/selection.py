@@ -73,7 +73,8 @@ def bind_roles(obs: DataFrame, roles: ColumnRoles, order_cols: Sequence[str] = (
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns to double, null where the text is no number."""
-    return df.withColumns({c: to_number(F.col(f"`{c}`")) for c in columns})
+    dtype = {f.name: f.dataType for f in df.schema}
+    return df.withColumns({c: to_number(F.col(f"`{c}`"), dtype[c]) for c in columns})
 
 
 def type_times(df: DataFrame, roles: ColumnRoles) -> DataFrame:
@@ -96,12 +97,29 @@ def taken_with(df: DataFrame, roles: ColumnRoles, gears: Sequence[str]) -> DataF
 
 
 def not_semi_aquatic(obs: DataFrame, tolerance_col: str) -> DataFrame:
-    """Rows whose own tolerance is known and not the semi-aquatic mark."""
-    return obs.where(F.col(f"`{tolerance_col}`") != F.lit(SEMI_AQUATIC))
-
-
-def numeric_counts(df: DataFrame, count_col: str) -> DataFrame:
-    """Counts above -1; nothing at all if the column as a whole is not numeric."""
-    if not isinstance(df.schema[count_col].dataType, T.NumericType):
-        return df.where(F.lit(False))
+    """Rows whose own tolerance is a number and not the semi-aquatic mark."""
+    value = to_number(F.col(f"`{tolerance_col}`"), obs.schema[tolerance_col].dataType)
+    return obs.where(value != F.lit(SEMI_AQUATIC))
+
+
+def numeric_counts(df: DataFrame, count_col: str, mixed: str = "refuse") -> DataFrame:
+    """Counts above -1, of a column that as a whole is numeric.
+
+    A text column, as from a csv file, is numeric if every value that is not missing
+    is a plain number; one aggregate over the column finds out. One with other text
+    is refused, or gives no rows at all with ``mixed="empty"``, as a spreadsheet
+    column of type text does.
+    """
+    if mixed not in ("refuse", "empty"):
+        raise ValueError(f"mixed has to be refuse or empty, not {mixed!r}")
+    column, dtype = F.col(f"`{count_col}`"), df.schema[count_col].dataType
+    if not isinstance(dtype, T.NumericType):
+        number = to_number(column)
+        known = (F.trim(column.cast("string")) != "") & number.isNull()
+        odd = df.agg(F.max(F.when(known, column.cast("string")))).first()[0]
+        if odd is not None:
+            if mixed == "refuse":
+                raise ValueError(f"{count_col} is not numeric: it holds {odd!r}")
+            return df.where(F.lit(False))
+        df = df.withColumn(count_col, number)
     return df.where(F.col(f"`{count_col}`") > -1)

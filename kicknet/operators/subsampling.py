@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kicknet.operators.matching import null_safe_join, repeat_rows, shuffle_partitions
+from kicknet.operators.matching import null_safe_join, repeat_rows
 
 # Fixed value: individuals a sample is reduced to
 TARGET = 360
@@ -29,9 +29,19 @@ def _checked(count: Column) -> Column:
 
 
 def kind_hash(columns: Sequence[str]) -> Column:
-    """Hash of the values that make individuals interchangeable."""
+    """Hash of the values that make individuals interchangeable.
+
+    Each value comes after its length, and null is no length, so different values can
+    not make one text.
+    """
+    texts = [F.col(c).cast("string") for c in columns]
     return F.md5(
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+        F.concat(
+            *[
+                F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n"))
+                for t in texts
+            ]
+        )
     )
 
 
@@ -61,7 +71,10 @@ def rarefy(
     for the count) are interchangeable, so only the ordered times of a kind
     matter, and those of n individuals are running sums of E/n, E/(n-1), ... A
     kind therefore needs no more than its first ``target`` times: exact for any
-    n, and a sample of billions costs no more than its kinds.
+    n, and a sample of billions costs no more than its kinds. And only the
+    ``target`` kinds whose first times are the earliest can be drawn from, so no more
+    than ``target`` squared times of a sample are written out, after the one shuffle
+    by sample.
     """
     key = list(sample_key)
     kind = [c for c in df.columns if c != count_col]
@@ -80,15 +93,21 @@ def rarefy(
     )
     numbers = F.sequence(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(target).cast("long")))
     gap = _waiting_time(seed) / (F.col("_n") - F.col("_number") + 1)
-    in_kind = Window.partitionBy(*kind).orderBy("_number")
-    # spread by kind before the numbers are written out, so the running sum needs no further shuffle
+    # the limit on row_number is applied within every task before kinds are brought together
+    by_first = Window.partitionBy(*key).orderBy("_first", "_kind")
+    front = (
+        kinds.withColumn("_number", F.lit(1).cast("long"))
+        .withColumn("_first", gap)
+        .withColumn("_rank", F.row_number().over(by_first))
+        .where(F.col("_rank") <= target)
+        .drop("_rank", "_first", "_number")
+    )
+    in_kind = Window.partitionBy(*key, "_kind").orderBy("_number")
     times = (
-        kinds.repartition(shuffle_partitions(df), *kind)
-        .withColumn("_number", F.explode(numbers))
+        front.withColumn("_number", F.explode(numbers))
         .withColumn("_gap", gap)
         .withColumn("_time", F.sum("_gap").over(in_kind.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    # the limit on row_number is applied within every task before the times are brought together
     in_sample = Window.partitionBy(*key).orderBy("_time", "_kind", "_number")
     drawn = times.withColumn("_place", F.row_number().over(in_sample)).where(
         F.col("_place") <= target

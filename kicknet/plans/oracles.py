@@ -270,7 +270,10 @@ def _resolved(method: str, to_filter: bool) -> str:
 # --- subsampling -----------------------------------------------------------------------
 
 KIND = f"{KEY}, id, biosname, tolerance"
-_kind_text = ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in KIND.split(", "))
+_kind_text = " || ".join(
+    f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), 'n')"
+    for c in KIND.split(", ")
+)
 RAREFIED = f"""{CURRENT_STD},
 rows as (select {KIND}, result_val as count from std),
 totals as (select {KEY}, sum(count) as total from rows group by {KEY}),
@@ -278,7 +281,7 @@ small as (select r.* from rows r join totals t on {_same(KEY, "r", "t")} where t
 kinds as (select {", ".join(f"r.{c}" for c in KIND.split(", "))}, cast(sum(floor(r.count)) as bigint) as n
     from rows r join totals t on {_same(KEY, "r", "t")} where t.total > 360
     group by {", ".join(f"r.{c}" for c in KIND.split(", "))}),
-individuals as (select *, md5(concat_ws('|', {_kind_text})) as kind, unnest(range(1, n + 1)) as number
+individuals as (select *, md5({_kind_text}) as kind, unnest(range(1, n + 1)) as number
     from kinds where n >= 1),
 gaps as (select *, -ln(1 - cast(cast('0x' || substr(md5(concat_ws('|', kind, cast(number as varchar),
     '{SEED}')), 1, 13) as bigint) as double) / cast(4503599627370496 as double)) / (n - number + 1) as gap
@@ -390,3 +393,11 @@ ORACLES: dict[str, str] = {
     **_score_queries(),
     **_ambiguity_queries(),
 }
+ORACLES["scan_observations_mixed_headers"] = ORACLES["scan_observations"]
+ORACLES["legacy_filter_text"] = ORACLES["legacy_filter"]
+ORACLES["resolve_rpkc_presence"] = f"select * exclude (count) from ({ORACLES['resolve_rpkc']})"
+ORACLES["type_times"] = """select l_orderkey, l_linenumber,
+    case when l_linenumber in (1, 2, 5) then date '2023-03-15'
+        when l_linenumber = 7 then date '1902-09-26' end as start_date,
+    case l_linenumber when 1 then '09:05' when 2 then '10:30' when 4 then '10:30'
+        when 6 then '23:59' when 7 then '12:00' end as start_time from lineitem"""

@@ -15,7 +15,7 @@ from kicknet.operators import redundancy as R
 from kicknet.operators.ambiguity import APTC, DPAC, RPKC, resolve_ambiguous
 from kicknet.operators.matching import anti_join_all, keep_first
 from kicknet.operators.scoring import score_index, score_metrics
-from kicknet.operators.selection import bind_roles, coerce_numeric
+from kicknet.operators.selection import bind_roles, coerce_numeric, type_times
 from kicknet.operators.subsampling import expand_individuals, rarefy
 from kicknet.operators.taxa import (
     CLASS, FAMILY, GENUS, GROUP, ID, NAME, ORDER, PHYLUM, TOLERANCE, TRIBE, join_taxa_by_id,
@@ -65,6 +65,16 @@ def q_scan_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_observations(spark, folder).drop(*SCAN_ORDER)
 
 
+def q_scan_observations_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "exports")
+    obs = D.observations(spark, sf_dir)
+    even = F.col("l_orderkey") % 2 == 0
+    D.write_export(obs.where(even), f"{folder}/a", "Export, one line per organism count")
+    other = obs.where(~even).select(*reversed(obs.columns))
+    D.write_export(other, f"{folder}/b", "Export with its columns in another order")
+    return scan_observations(spark, folder).drop(*SCAN_ORDER)
+
+
 def q_scan_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "master")
     master = D.derive_taxa(spark, sf_dir).select(
@@ -117,6 +127,20 @@ def q_excel_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_type_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and times that are text, of every kind that an export may hold."""
+    dates = ("45000", "2023-03-15", "20230315123456", "x", "45000.9", "45000d", "1e3")
+    times = ("9:05", "10:30:00", "abc", "0.4375", "25:00", "23:59", "45000.5")
+
+    def text(values: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("l_linenumber"))
+
+    table = D.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", text(dates).alias("start_date"), text(times).alias("start_time")
+    )
+    return type_times(table, D.ROLES)
+
+
 # --- selection and standardisation -----------------------------------------------------
 
 
@@ -132,6 +156,13 @@ def q_legacy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_legacy_filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legacy filter over text, as a csv scan gives it."""
+    obs = D.observations(spark, sf_dir)
+    text = obs.withColumns({c: F.col(c).cast("string") for c in ("result_val", D.TOLERANCE_COL)})
+    return S.filter_observations(text, D.taxa(spark, sf_dir), D.ROLES, LEGACY_HERE, D.ROW_ORDER)
+
+
 def q_join_taxa_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a part of the ids is beyond the master, so unmatched rows occur
     obs = D.observations(spark, sf_dir).select(
@@ -276,6 +307,12 @@ def _resolved(method: str, to_filter: bool) -> Query:
     return query
 
 
+def q_resolve_rpkc_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presence lists: no column of counts."""
+    rows = _hierarchy_rows(spark, sf_dir).drop("count")
+    return resolve_ambiguous(rows, KEY, RANKS, method=RPKC, order_cols=D.ROW_ORDER)
+
+
 def _countable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _standardized(spark, sf_dir)
     return rows.select(*KEY, ID, NAME, TOLERANCE, F.col(COUNT).alias("count"))
@@ -292,13 +329,16 @@ def q_rarefy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "scan_observations": q_scan_observations,
+    "scan_observations_mixed_headers": q_scan_observations_mixed_headers,
     "scan_taxa": q_scan_taxa,
     "clean_names": q_clean_names,
     "bind_roles": q_bind_roles,
     "coerce_numeric": q_coerce_numeric,
     "excel_serial": q_excel_serial,
+    "type_times": q_type_times,
     "filter_observations": q_filter_observations,
     "legacy_filter": q_legacy_filter,
+    "legacy_filter_text": q_legacy_filter_text,
     "join_taxa_by_id": q_join_taxa_by_id,
     "standardize_taxa": q_standardize_taxa,
     "legacy_standardize": q_legacy_standardize,
@@ -330,6 +370,7 @@ QUERIES: dict[str, Query] = {
     "preview_scores": q_preview_scores,
     "resolve_rpkc": _resolved(RPKC, True),
     "flag_rpkc": _resolved(RPKC, False),
+    "resolve_rpkc_presence": q_resolve_rpkc_presence,
     "resolve_dpac": _resolved(DPAC, True),
     "flag_dpac": _resolved(DPAC, False),
     "resolve_aptc": _resolved(APTC, True),

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kicknet.operators.selection import ColumnRoles
-from kicknet.sources.workspace import work_folder
 
 ROLES = ColumnRoles(
     mlid="site",
@@ -83,22 +82,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_masters: dict[tuple[str, str], str] = {}
-
-
 def derive_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = TAXA_SQL.replace("//", "div")
     return spark.sql(text, part=table(spark, sf_dir, "part"))
 
 
 def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The master as a file, which is what it is to the calculator: written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _masters:
-        folder = work_folder(spark, "taxa")
-        derive_taxa(spark, sf_dir).write.parquet(folder)
-        _masters[key] = folder
-    return spark.read.parquet(_masters[key])
+    """The taxa master."""
+    return derive_taxa(spark, sf_dir)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,10 +49,8 @@ def scan_taxa(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     _check_format(fmt)
     if fmt == "parquet":
         return prune_master(spark.read.parquet(path))
-    types = {c: T.DoubleType() for c in NUMERIC}
-    schema = T.StructType(
-        [T.StructField(c, types.get(c, T.StringType())) for c in header_of(spark, path, 1)]
-    )
+    # numbers too are read as text, so that one rule says what a number is
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header_of(spark, path, 1)])
     return prune_master(
         spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,33 @@ def _check_format(fmt: str) -> None:
         raise ValueError(f"format has to be one of {', '.join(FORMATS)}, not {fmt!r}")
 
 
+def headers_of(spark: SparkSession, path: str, line: int) -> dict[tuple[str, ...], list[str]]:
+    """The files under a path by the column names in their line ``line`` (from 1).
+
+    Tasks read the lines of the files' first blocks; one row per file is collected.
+    """
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, seen = None, 0
+        for rows in batches:
+            found = []
+            for name, value in zip(rows["file"], rows["value"]):
+                file, seen = (file, seen + 1) if name == file else (name, 1)
+                if seen == line:
+                    found.append((name, value))
+            yield pd.DataFrame(found, columns=["file", "value"])
+
+    lines = (
+        spark.read.text(path, recursiveFileLookup=True)
+        .where(F.col("_metadata.file_block_start") == 0)
+        .select(F.col("_metadata.file_path").alias("file"), "value")
+    )
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.mapInPandas(heads, "file string, value string").collect():
+        found.setdefault(tuple(next(csv.reader([row["value"]]), [])), []).append(row["file"])
+    return found
+
+
 def header_of(spark: SparkSession, path: str, line: int) -> list[str]:
     """The column names in line ``line`` (from 1) of the first file under a path."""
     files = sorted(spark.read.text(path, recursiveFileLookup=True).inputFiles())
@@ -37,9 +66,10 @@ def scan_observations(
 
     A csv export has a preamble in its first line and the column names in its
     second; all its columns are text. Files stay splittable: the preamble is
-    skipped as the reader's header line, the names are known from one file, and
-    the line repeating them is filtered out. Only cells with line breaks need
-    ``multi_line``, which reads each file in one task.
+    skipped as the reader's header line, and the line with the names is filtered
+    out. Files are bound by their own header: those with the same columns in another
+    order are read by name, those with other columns are refused. Only cells with line
+    breaks need ``multi_line``, which reads each file in one task.
     """
     _check_format(fmt)
     if fmt == "parquet":
@@ -49,7 +79,25 @@ def scan_observations(
             F.lit(0).cast("long").alias("_block"),
             F.col("_metadata.row_index").alias("_line"),
         )
-    names = header_of(spark, path, 2)
+    headers = headers_of(spark, path, 2)
+    if not headers:
+        raise ValueError(f"no file with a header in line 2 under {path}")
+    first = min(headers, key=lambda names: min(headers[names]))
+    for names, files in headers.items():
+        if sorted(names) != sorted(first):
+            raise ValueError(
+                f"{files[0]} has the columns {', '.join(names)}, {headers[first][0]} has {', '.join(first)}"
+            )
+    if len(headers) == 1:
+        return _scan_csv(spark, [path], list(first), multi_line)
+    if len(set(first)) < len(first):
+        raise ValueError("repeated column names, in another order in other files")
+    parts = [_scan_csv(spark, files, list(names), multi_line) for names, files in headers.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).select(*[f"`{c}`" for c in first], *ROW_ORDER)
+
+
+def _scan_csv(spark: SparkSession, paths: list[str], names: list[str], multi_line: bool) -> DataFrame:
+    """Files with the same header, whose line is left out."""
     # positions as names, so that repeated or odd column names do no harm in the reader
     places = [f"c{i}" for i in range(len(names))]
     lines = (
@@ -59,7 +107,7 @@ def scan_observations(
         .option("recursiveFileLookup", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .csv(path)
+        .csv(paths)
     )
     is_header = reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(n or None)) for c, n in zip(places, names)]

@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    Only a session without one, as in tests, gets a temporary folder.
+    A session without one gets a temporary folder if it runs on this machine alone, as
+    in tests, and is refused otherwise: executors would not share the folder. What is
+    put there goes when the session ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="kicknet-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -23,12 +23,14 @@ def test_clean_names():
 
 def test_numbers_dates_and_times(spark):
     df = spark.createDataFrame(
-        [("12",), ("1.5",), ("n/a",), (None,), ("45000.4375",), ("10:30",), ("2023-03-15",)], "x string"
+        [("12",), ("1.5",), ("n/a",), (None,), ("45000.4375",), ("10:30",), ("2023-03-15",),
+         ("12F",), ("7d",), ("20230315123456",), ("9:05",), ("10:30:00",), ("25:00",)], "x string"
     )
     got = [tuple(r) for r in df.select(to_number(F.col("x")), typed_clock(F.col("x"), df.schema["x"].dataType)).collect()]
     assert got == [
-        (12.0, "00:00"), (1.5, "12:00"), (None, "n/a"), (None, None), (45000.4375, "10:30"),
-        (None, "10:30"), (None, "2023-03-15"),
+        (12.0, "00:00"), (1.5, "12:00"), (None, None), (None, None), (45000.4375, "10:30"),
+        (None, "10:30"), (None, None), (None, None), (None, None), (20230315123456.0, None),
+        (None, "09:05"), (None, "10:30"), (None, None),
     ]
     dates = [r[0] for r in df.select(typed_date(F.col("x"), df.schema["x"].dataType)).collect()]
     assert dates[4] == date(2023, 3, 15) == dates[6] and dates[2] is None
@@ -78,8 +80,12 @@ def test_binding_renames_the_id(spark):
     assert bind_roles(df, ROLES).columns == ["site", "day", "clock", "gear", "id", "label", "n"]
 
 
-def test_counts_of_the_wrong_type_are_all_dropped(spark):
-    text = spark.createDataFrame([("1",), ("2",)], "n string")
+def test_counts_that_are_text(spark):
+    text = spark.createDataFrame([("1",), (" 2.5",), ("-1",), ("",), (None,)], "n string")
+    assert bag(numeric_counts(text, "n")) == {(1.0,): 1, (2.5,): 1}
+    odd = spark.createDataFrame([("1",), ("7d",)], "n string")
+    with pytest.raises(ValueError, match="7d"):
+        numeric_counts(odd, "n")
+    assert numeric_counts(odd, "n", mixed="empty").count() == 0
     number = spark.createDataFrame([(0.0,), (-1.0,), (None,), (-0.5,)], "n double")
-    assert numeric_counts(text, "n").count() == 0
     assert bag(numeric_counts(number, "n")) == {(0.0,): 1, (-0.5,): 1}

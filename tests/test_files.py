@@ -120,7 +120,20 @@ def test_legacy_columns(spark, tmp_path):
     # the record without a master row is a taxon of its own, without tolerance
     assert [(r[0], r["TotalTaxa_Value"], r["MBI"]) for r in got] == [("A", 2, 0.0)]
     text = obs.withColumn("Result Value", F.col("Result Value").cast("string"))
-    assert score_samples(text, scan_master(spark, tmp_path), LEGACY_ROLES, LEGACY, ["line"]).count() == 0
+    got = score_samples(text, scan_master(spark, tmp_path), LEGACY_ROLES, LEGACY, ["line"]).collect()
+    assert [(r[0], r["TotalTaxa_Value"], r["MBI"]) for r in got] == [("A", 2, 0.0)]
+    text = text.withColumn("Tolerance Value", F.when(F.col("line") == 2, "n/a").otherwise(F.col("Tolerance Value").cast("string")))
+    got = score_samples(text, scan_master(spark, tmp_path), LEGACY_ROLES, LEGACY, ["line"]).collect()
+    assert [(r[0], r["TotalTaxa_Value"]) for r in got] == [("A", 1)]
+
+
+def test_headers_in_another_order_and_other_headers(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("pre\na,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("pre\nb,a\n4,3\n")
+    assert bag(scan_observations(spark, str(tmp_path)), "a", "b") == {("1", "2"): 1, ("3", "4"): 1}
+    (tmp_path / "3.csv").write_text("pre\na,c\n4,3\n")
+    with pytest.raises(ValueError, match="has the columns"):
+        scan_observations(spark, str(tmp_path))
 
 
 def test_written_exports_scan_back(spark, tmp_path):
