@@ -21,7 +21,9 @@ TOXIC_FROM = 0.5
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field, fitted to the labelled ones among them, does not reject."""
     field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, field).where(F.col("score") < TOXIC_FROM).select(docs.columns)
+    rest = F.struct(*(f"`{c}`" for c in docs.columns if c != "text")).alias("rest")
+    clean = toxicity.score(docs.select(rest, "text"), field).where(F.col("score") < TOXIC_FROM)
+    return clean.select(*(F.col("text" if c == "text" else f"rest.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,13 +288,14 @@ def without_repeats(
     rounds: int = ROUNDS,
     also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, the columns in `also`, `kept` (binary), n_bytes and `spans` of every row.
+    """doc_id, `kept` (binary), n_bytes and `spans` of every row.
 
-    `spans` are the removed runs (start, length; bytes).
+    `spans` are the removed runs (start, length; bytes). Columns named in `also` are
+    passed on in a struct of that name.
     """
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        *(F.col(c) for c in also),
+        *([F.struct(*(F.col(f"`{c}`") for c in also)).alias("also")] if also else []),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     places = repeated_places(texts.select("doc_id", "text"), length, gram, rounds)
@@ -327,6 +328,5 @@ def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.drop("kept").schema)
     named = out.mapInArrow(run, f"{schema}, text string")
-    return named.select(
-        *(F.col({id_col: "doc_id", text_col: "text"}.get(c, c)).alias(c) for c in docs.columns)
-    )
+    own = {id_col: "doc_id", text_col: "text"}
+    return named.select(*(F.col(own.get(c, f"also.`{c}`")).alias(c) for c in docs.columns))
