@@ -34,7 +34,7 @@ SAMPLE = 3000
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 LONGEST = 64
-EPOCHS, BATCH, RATE, DECAY = 8, 2048, 0.1, 1e-4
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 8, 300, 2048, 0.1, 1e-4
 NOTABLE, SPAN_AT = 0.1, 0.5
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -224,7 +224,8 @@ def train(texts: list[bytes], labels: list[int]) -> Field:
     field.weights -= 1.0
     params = [field.weights, field.steps, np.zeros(1)]
     squares = [np.full(p.shape, 1e-8) for p in params]
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, -(-n // BATCH))))
+    for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             pick = np.sort(order[at : at + BATCH])
