@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words and neighbours that a task keeps.
-MOST_WORDS, MOST_NEIGHBOURS = 1_000_000, 600_000
+#: Words (in each of two generations) and neighbours that a task keeps.
+MOST_WORDS, MOST_NEIGHBOURS = 250_000, 150_000
 INFINITY = float("inf")
 
 
@@ -83,7 +83,11 @@ class Transducer:
     bytes_at: dict[int, int]
     unknown: int
     _words: dict[str, bytes] = field(default_factory=dict)
-    _follows: dict[tuple[str, str], float] = field(default_factory=dict)
+    _older: dict[str, bytes] = field(default_factory=dict)
+    _follows: dict[str, dict[str, bool]] = field(default_factory=dict)
+    _known: int = 0
+    #: Length of the longest piece for each beginning of 4 characters.
+    _reach: dict[str, int] = field(default_factory=dict)
     _split: dict[str, tuple[str, str]] = field(default_factory=dict)
     _left_edges: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
     _right_edges: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
@@ -99,6 +103,9 @@ class Transducer:
                 self._bytes.append(b"" if kind == CONTROL else text.replace(SPACE, " ").encode())
         if self.model == BPE:
             self.ids = {t: k for t, k in self.ids.items() if self.alone(t)}
+            for t in self.ids:
+                if len(t) > 3:
+                    self._reach[t[:4]] = max(len(t), self._reach.get(t[:4], 0))
 
     def normalise(self, text: str) -> str:
         if self.tidy:
@@ -170,20 +177,14 @@ class Transducer:
             return -self.scores[k] if k is not None else 10.0 - min(self.scores)
         if not last:
             return 0.0
-        key = (last, piece)
-        found = self._follows.get(key)
-        if found is None:
-            if len(self._follows) >= MOST_NEIGHBOURS:
-                self._follows.clear()
-            ids, scores, found = self.ids, self.scores, 0.0
-            rights = self._edge(piece, False)
-            for a, a_used in self._edge(last, True):
-                for b, b_used in rights:
-                    k = ids.get(a + b)
-                    if k is not None and -scores[k] < a_used and -scores[k] <= b_used:
-                        found = INFINITY
-            self._follows[key] = found
-        return found
+        ids, scores = self.ids, self.scores
+        rights = self._edge(piece, False)
+        for a, a_used in self._edge(last, True):
+            for b, b_used in rights:
+                k = ids.get(a + b)
+                if k is not None and -scores[k] < a_used and -scores[k] <= b_used:
+                    return INFINITY
+        return 0.0
 
     def _free_path(self, text: str) -> list[str]:
         """The only path of weight 0, longest arcs first; a position without a way on is closed.
@@ -191,18 +192,24 @@ class Transducer:
         Every prefix has one result under the merge rule, so there is one state of
         finite weight for each position, and a closed position stays closed.
         """
-        n, ids, longest, follows, weigh = len(text), self.ids, self.longest, self._follows, self.weight
+        n, ids, reach = len(text), self.ids, self._reach
         closed = bytearray(n + 1)
         pieces, starts = [""], [0]
-        end = min(n, longest)
+        end = min(n, reach.get(text[:4], 3))
         while True:
             start, before = starts[-1], pieces[-1]
+            follows = self._follows.get(before)
+            if follows is None:
+                follows = self._follows[before] = {}
             while end > start:
                 if not closed[end]:
                     piece = text[start:end]
-                    if end == start + 1 or piece in ids:
-                        w = follows.get((before, piece))
-                        if (weigh(before, piece) if w is None else w) == 0.0:
+                    if piece in ids or end == start + 1:
+                        free = follows.get(piece)
+                        if free is None:
+                            free = follows[piece] = self.weight(before, piece) == 0.0
+                            self._known += 1
+                        if free:
                             break
                 end -= 1
             if end == n:
@@ -211,7 +218,7 @@ class Transducer:
             if end > start:
                 pieces.append(piece)
                 starts.append(end)
-                end = min(n, end + longest)
+                end = min(n, end + reach.get(text[end : end + 4], 3))
             else:
                 closed[start] = 1
                 starts.pop()
@@ -221,7 +228,13 @@ class Transducer:
     def path(self, text: str) -> list[int]:
         """Ids along the shortest path of the composition with a normalised text."""
         if self.model == BPE:
-            return list(chain.from_iterable(map(self._emit, self._free_path(text))))
+            if self._known >= MOST_NEIGHBOURS:
+                self._follows, self._known = {}, 0
+            path = self._free_path(text)
+            try:
+                return list(map(self.ids.__getitem__, path))
+            except KeyError:  # a character by its bytes
+                return list(chain.from_iterable(map(self._emit, path)))
         n = len(text)
         weight = [INFINITY] * (n + 1)
         last: list[str] = [""] * (n + 1)
@@ -259,18 +272,22 @@ class Transducer:
         text = self.normalise(text or "")
         if not self.by_word:
             return np.array(self.path(text), dtype=np.int32).tobytes()
-        words = self._words
+        if len(self._words) >= MOST_WORDS:  # words that go on occurring come back from the older ones
+            self._older, self._words = self._words, {}
+        words, older = self._words, self._older
         parts = _words_of(text)
-        if len(words) >= MOST_WORDS:
-            words.clear()
         for w in set(parts).difference(words):
-            words[w] = struct.pack(f"<{len(k := self.path(w))}i", *k)
+            known = older.get(w)
+            words[w] = struct.pack(f"<{len(k := self.path(w))}i", *k) if known is None else known
         return b"".join(map(words.__getitem__, parts))
 
     def decode(self, ids: list[int]) -> str:
-        if ids and not (0 <= min(ids) and max(ids) < len(self._bytes)):
+        if ids and min(ids) < 0:
             raise ValueError("an id has no piece")
-        text = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
+        try:
+            text = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
+        except IndexError:
+            raise ValueError("an id has no piece") from None
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -278,6 +295,8 @@ def _words_of(text: str) -> list[str]:
     """Cuts in front of each run of marks."""
     if not text:
         return []
+    if SPACE * 2 not in text:
+        return text.replace(SPACE, f" {SPACE}").split(" ")[text[0] == SPACE :]
     parts = text.split(SPACE)
     out, marks = [], 0
     if parts[0]:
