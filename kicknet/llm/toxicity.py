@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kicknet.llm.labelled import sample
 from kicknet.llm.texts import CHUNK_BYTES, LOWER, SpanHash, slices, values
 
-SAMPLE = 3000
+SAMPLE = 1500
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 LONGEST = 64
@@ -93,7 +93,7 @@ class Field:
 
     def marginals(self, words: Words, pairs: np.ndarray | None = None) -> np.ndarray:
         """Probability of the toxic tag for each word; `pairs` gets the sums over steps."""
-        p = np.zeros(len(words.start))
+        p = np.zeros(len(words.row))
         if not len(p):
             return p
         emit = np.exp(np.clip(self.weights[words.features].sum(axis=1), -30, 30))
@@ -162,7 +162,7 @@ def _telling(words: Words, labels: np.ndarray) -> np.ndarray:
     in_toxic, in_clean = np.zeros(size, np.int64), np.zeros(size, np.int64)
     of_toxic = []  # (document, feature) of toxic documents
     for k in range(words.features.shape[1]):
-        seen = np.unique(words.row * size + words.features[:, k])
+        seen = np.unique(words.row.astype(np.int64) * size + words.features[:, k])
         doc, feature = seen // size, seen % size
         toxic = labels[doc] == 1
         in_toxic += np.bincount(feature[toxic], minlength=size)
@@ -198,13 +198,20 @@ def _read_all(texts: list[bytes]) -> Words:
             end += 1
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts[at:end]])]).astype(np.int64)
         part = read_words(np.frombuffer(b"".join(texts[at:end]), np.uint8), offsets)
-        part.row = part.row + at
-        part.sequence = part.sequence + sequences
+        part.row = (part.row + at).astype(np.int32)
+        part.sequence = (part.sequence + sequences).astype(np.int32)
+        part.place = part.place.astype(np.int8)
+        part.start = part.end = np.zeros(0, np.int64)  # places in the text are not learned from
         if len(part.sequence):
             sequences = int(part.sequence[-1]) + 1
         parts.append(part)
         at = end
-    return Words(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Words)))
+    whole = []
+    for f in fields(Words):  # one after the other, so that not all stand in memory twice
+        whole.append(np.concatenate([getattr(p, f.name) for p in parts]))
+        for p in parts:
+            setattr(p, f.name, None)
+    return Words(*whole)
 
 
 def train(texts: list[bytes], labels: list[int]) -> Field:
@@ -219,7 +226,7 @@ def train(texts: list[bytes], labels: list[int]) -> Field:
     marks = _telling(words, y)
     tag = marks[words.features].any(axis=1) & (y[words.row] == 1)
     rng = np.random.default_rng(17)
-    n = int(words.sequence[-1]) + 1 if len(words.start) else 0
+    n = int(words.sequence[-1]) + 1 if len(words.row) else 0
     begin = np.searchsorted(words.sequence, np.arange(n + 1))
     field.weights -= 1.0
     params = [field.weights, field.steps, np.zeros(1)]
@@ -231,7 +238,14 @@ def train(texts: list[bytes], labels: list[int]) -> Field:
             pick = np.sort(order[at : at + BATCH])
             sizes = begin[pick + 1] - begin[pick]
             index = np.arange(sizes.sum()) + np.repeat(begin[pick] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-            part = Words(*(getattr(words, k)[index] for k in ("start", "end", "row", "features")), np.repeat(np.arange(len(pick)), sizes), words.place[index])
+            part = Words(
+                words.start,
+                words.end,
+                words.row[index],
+                words.features[index],
+                np.repeat(np.arange(len(pick)), sizes),
+                words.place[index],
+            )
             field.first = float(params[2][0])
             pairs = np.zeros((2, 2))
             p, t = field.marginals(part, pairs), tag[index].astype(float)
