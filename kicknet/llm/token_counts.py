@@ -30,11 +30,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kicknet.llm.graph import remove_at_exit, shared_folder
+from kicknet.llm.graph import remove_at_exit, shared_folder, shuffles_removed
 
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20
 LARGEST_FILE = 1 << 30
+ROUNDS = 4
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch], eod: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -164,11 +165,15 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
             )
 
 
-def write_token_files(docs: DataFrame, model: bytes, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
+def write_token_files(
+    docs: DataFrame, model: bytes, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS
+) -> tuple[str, DataFrame]:
     """(folder of token files, where each document is: doc_id, shard, document).
 
     Ids have 16 bits, the separator is the model's </s>, the files are removed when the
-    session ends. Documents of a shard are in the order of doc_id (nulls first).
+    session ends. Documents of a shard are in the order of doc_id (nulls first). Shards
+    are written in `rounds` parts, one after the other, so that no more than one
+    part stands in shuffle files.
     """
     spark = docs.sparkSession
     processor = _processor(model)
@@ -185,16 +190,23 @@ def write_token_files(docs: DataFrame, model: bytes, shard_bytes: int = SHARD_BY
     )
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     remove_at_exit(spark, folder)
-    (
-        keyed.select("doc_id", "tie", "shard", "text")
-        .mapInArrow(lambda it: _encoded(it, model), "doc_id long, tie long, shard long, tokens binary")
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "doc_id", "tie")
-        .select("shard", F.col("tokens").cast("string").alias("value"))
-        .write.partitionBy("shard")
-        .option("lineSep", processor.eos_id().to_bytes(2, "little").decode())
-        .text(folder)
-    )
+    separator = processor.eos_id().to_bytes(2, "little").decode()
+    with shuffles_removed(spark):
+        for part in range(min(rounds, shards)):
+            (
+                keyed.select("doc_id", "tie", "shard", "text")
+                .where(F.col("shard") % rounds == part)
+                .mapInArrow(
+                    lambda it: _encoded(it, model), "doc_id long, tie long, shard long, tokens binary"
+                )
+                .repartition(-(-shards // rounds), "shard")
+                .sortWithinPartitions("shard", "doc_id", "tie")
+                .select("shard", F.col("tokens").cast("string").alias("value"))
+                .write.mode("append")
+                .partitionBy("shard")
+                .option("lineSep", separator)
+                .text(folder)
+            )
     order = Window.partitionBy("shard").orderBy("doc_id", "tie")
     places = keyed.select(
         "doc_id", "shard", (F.row_number().over(order) - 1).cast("long").alias("document")
