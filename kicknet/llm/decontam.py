@@ -3,8 +3,8 @@
 Fixed masks are laid over every run of `SPAN` tokens; each hashes the tokens at its
 selected places and ignores the others, so a replaced word need not hide a copy. Hashes
 of the test items and of the documents are joined. Each hit gives an alignment of an
-item with a document; along it, the stretch with the best sum (+1 for an equal token,
--1 for another) is taken, and counts if enough tokens are equal.
+item with a document; along it, all stretches with enough equal tokens are taken that do
+not overlap, those with the most equal tokens first.
 
 Before the join, documents' hashes pass a bit table of fixed size made from the items'
 hashes, which lets all true hits through. Larger test sets only make it let through
@@ -34,7 +34,7 @@ from kicknet.llm.texts import LOWER, SpanHash, int64, mix, slices, values
 MASKS = ("110110101", "101101011", "111001101")
 SPAN = len(MASKS[0])
 TABLE_BITS = 22
-LEAST_EQUAL, LEAST_SHARE, SHORT_SHARE = 12, 0.75, 0.8
+LEAST_EQUAL, LEAST_SHARE = 12, 0.75
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -96,12 +96,42 @@ def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), lists], ["item_id", "words"])
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the largest sum of +1 and -1, the first of them."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    return int(np.argmin(sums[: end + 1])), end
+def needed(n_tokens: int, least_equal: int) -> int:
+    """Equal tokens that a stretch of an item of that many tokens has to have."""
+    return min(least_equal, -(-4 * n_tokens // 5))
+
+
+def stretches(equal: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(start, end, equal tokens) of the stretches of an alignment that count, in order.
+
+    Of all stretches with `need` equal tokens and `LEAST_SHARE` of theirs equal, the one
+    with the most equal tokens is taken, the shortest and first of such; then the same on
+    either side of it. A stretch not taken shares tokens with one that was.
+    """
+    found, todo = [], [(0, len(equal))]
+    while todo:
+        low, high = todo.pop()
+        places = low + np.flatnonzero(equal[low:high])  # stretches begin and end at equal tokens
+        n = len(places)
+        if n < need:
+            continue
+        rank = np.arange(n)
+        # ranks i to j count if (j - i + 1) >= share * (places[j] - places[i] + 1)
+        first = rank - LEAST_SHARE * places
+        last = rank + 1 - LEAST_SHARE * (places + 1)
+        lows = np.minimum.accumulate(first)
+        # the first i with first[i] <= last[j]: lows falls
+        begin = np.searchsorted(-lows, -last, "left")
+        size = rank - begin + 1
+        best = int(size.max())
+        if best < need:
+            continue
+        ends = np.flatnonzero(size == best)
+        j = int(ends[np.argmin(places[ends] - places[begin[ends]])])
+        start, end = int(places[begin[j]]), int(places[j]) + 1
+        found.append((start, end, best))
+        todo += [(low, start), (end, high)]
+    return sorted(found)
 
 
 def _verify(
@@ -121,10 +151,7 @@ def _verify(
                 if b <= a:
                     continue
                 equal = own[a:b] == item[a - shift : b - shift]
-                start, end = best_stretch(equal)
-                n = int(equal[start:end].sum())
-                need = min(least_equal, int(np.ceil(SHORT_SHARE * len(item))))
-                if n >= need and n >= LEAST_SHARE * (end - start):
+                for start, end, n in stretches(equal, needed(len(item), least_equal)):
                     out.append((doc, p["item_id"], a + start, end - start, n))
         if out:
             yield pa.RecordBatch.from_arrays(

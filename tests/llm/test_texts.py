@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,32 @@ def test_contaminated_documents_are_found_and_clean_ones_are_not(spark, words):
     assert decontam.contaminated(df.limit(0), tests).collect() == []
 
 
+@pytest.mark.parametrize("first, gap, second", [(20, 15, 20), (40, 30, 40), (60, 45, 60), (100, 70, 100)])
+def test_copies_on_both_sides_of_a_replaced_block_are_found(spark, first, gap, second):
+    w = [f"w{i}" for i in range(first + gap + second)]
+    changed = w[:first] + [f"x{i}" for i in range(gap)] + w[first + gap :]
+    df = spark.createDataFrame([(1, " ".join(["before", *changed, "after"]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")
+    found = sorted(tuple(r) for r in decontam.contaminated(df, tests).collect())
+    assert found == [(1, 5, 1, first, first), (1, 5, 1 + first + gap, second, second)]
+
+
+def test_stretches_are_those_that_the_rule_asks_for():
+    rng = random.Random(4)
+    for _ in range(400):
+        equal = [rng.random() < rng.choice((0.5, 0.75, 0.9)) for _ in range(rng.randint(0, 40))]
+        n = len(equal)
+        valid = [
+            (s, e) for s in range(n) for e in range(s + 1, n + 1)
+            if sum(equal[s:e]) >= 6 and 4 * sum(equal[s:e]) >= 3 * (e - s)
+        ]
+        got = decontam.stretches(np.array(equal, dtype=bool), 6)
+        assert all((s, e) in valid and k == sum(equal[s:e]) for s, e, k in got)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        assert max((k for *_, k in got), default=0) == max((sum(equal[s:e]) for s, e in valid), default=0)
+        assert all(any(s < f and b < e for b, f, _ in got) for s, e in valid)
+
+
 # --- pieces ------------------------------------------------------------------------------
 
 TEXTS = [
