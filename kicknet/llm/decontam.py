@@ -1,19 +1,24 @@
 """Benchmark decontamination by spaced seeds.
 
-Fixed masks are laid over every run of `SPAN` tokens; each hashes the tokens at its
+Fixed masks are laid over every run of tokens; each hashes the tokens at its
 selected places and ignores the others, so a replaced word need not hide a copy. Hashes
 of the test items and of the documents are joined. Each hit gives an alignment of an
 item with a document; along it, all stretches with enough equal tokens are taken that do
 not overlap, those with the most equal tokens first.
 
+The masks depend on how many equal tokens an item asks for (`masks_for`). Whatever tokens
+are replaced, a stretch that counts is hit by one of them; the tests prove it by going
+through all patterns. Masks that no item asks for are not laid over the documents.
+
 Before the join, documents' hashes pass a bit table of fixed size made from the items'
 hashes, which lets all true hits through. Larger test sets only make it let through
 more. Hits are joined as rows, so neither side has to fit in memory.
 
 A token is a run of letters and digits (A-Z lower-cased; every character outside
 ASCII belongs to a token). A stretch counts if it has `least_equal` equal tokens (or, for
-short items, 80 % of the item) and 75 % of its tokens are equal. Items with fewer than
-`SPAN` tokens are too short to be found. Null texts are empty. Repeated rows are found
+short items, 80 % of the item) and 75 % of its tokens are equal. So items of one to four
+tokens are found as exact copies only, and items without tokens never. Null texts are
+empty. Repeated rows are found
 each by itself; documents with a null id are found under a null id. Extra columns do not
 matter; empty tables give an empty table.
 """
@@ -21,6 +26,8 @@ matter; empty tables give an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kicknet.llm.graph import cut
-from kicknet.llm.texts import LOWER, SpanHash, int64, mix, slices, values
+from kicknet.llm.texts import LOWER, SpanHash, int64, slices, values
 
-#: Places that each mask looks at.
-MASKS = ("110110101", "101101011", "111001101")
-SPAN = len(MASKS[0])
-TABLE_BITS = 22
+#: Places that each mask looks at. One of them hits any stretch with 12 equal tokens, 75 % of all.
+MASKS = (
+    "111111", "11110011", "11001111", "10111011", "1111010001", "1110101001", "1110100101", "1101101001"
+)
+WEIGHT = 6
+TABLE_BITS = 24
 LEAST_EQUAL, LEAST_SHARE = 12, 0.75
 
 _TOKEN = np.zeros(256, dtype=bool)
@@ -55,33 +64,87 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, np.searchsorted(starts, offsets)
 
 
-def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
-    """The hash of one mask at each token that has a whole span after it."""
-    n = len(hashes) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    factors = values(31 + mask, SPAN) | np.uint64(1)
-    total = np.zeros(n, dtype=np.uint64)
-    for k, used in enumerate(MASKS[mask]):
-        if used == "1":
-            total += hashes[k : k + n] * factors[k]
-    return mix(total)
+def needed(n_tokens: int, least_equal: int) -> int:
+    """Equal tokens that a stretch of an item of that many tokens has to have."""
+    return min(least_equal, -(-4 * n_tokens // 5))
+
+
+def patterns(weight: int) -> tuple[str, ...]:
+    """All masks of that weight with a third as many places between that are ignored, or fewer."""
+    if weight < 2:
+        return ("1",) * weight
+    return tuple(
+        "".join("01"[i in (0, span - 1, *between)] for i in range(span))
+        for span in range(weight, weight + weight // 3 + 1)
+        for between in combinations(range(1, span - 1), weight - 2)
+    )
+
+
+@cache
+def masks_for(n_tokens: int, least_equal: int) -> tuple[str, ...]:
+    """Masks for an item of that many tokens."""
+    need = needed(n_tokens, least_equal)
+    if need >= LEAST_EQUAL:
+        return MASKS
+    found = patterns(min(need, WEIGHT))
+    if need < needed(n_tokens, n_tokens):  # a long item, but few equal tokens are asked for
+        found = (*dict.fromkeys((*found, *patterns(WEIGHT), "111")),)
+    return found
+
+
+_FACTORS = values(31, WEIGHT) | np.uint64(1)
+_OF_MASK = values(32, 2**10)
+
+
+def seeds(terms: list[np.ndarray], mask: str) -> np.ndarray:
+    """The hash of one mask at each token that has a whole span after it.
+
+    terms: the tokens' hashes times each of `_FACTORS`.
+    """
+    n = max(0, len(terms[0]) - len(mask) + 1)
+    total = np.full(n, _OF_MASK[int(mask, 2)])
+    for term, k in zip(terms, (k for k, used in enumerate(mask) if used == "1")):
+        total += term[k : k + n]
+    return total
+
+
+def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the table that stand for a seed."""
+    return seed >> np.uint64(64 - TABLE_BITS), (seed >> np.uint64(16)) & np.uint64(2**TABLE_BITS - 1)
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch], least_equal: int) -> Iterator[pa.RecordBatch]:
+    """(id, at, seed, mask) of items (id, text), each with its own masks."""
+    for rows, data, offsets in slices(batches):
+        hashes, ends = tokens(data, offsets)
+        terms = [hashes * f for f in _FACTORS]
+        sizes = np.diff(ends)
+        row = np.repeat(np.arange(rows.num_rows), sizes)
+        left = ends[1:][row] - np.arange(len(hashes))
+        kinds = {int(n): masks_for(int(n), least_equal) for n in np.unique(sizes)}
+        for mask in sorted({m for masks in kinds.values() for m in masks}):
+            asks = np.isin(sizes, [n for n, masks in kinds.items() if mask in masks])
+            seed = seeds(terms, mask)
+            at = np.flatnonzero(asks[row[: len(seed)]] & (left[: len(seed)] >= len(mask)))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(pa.array(row[at])), pa.array(at - ends[row[at]]), int64(seed[at]), pa.array([mask] * len(at), pa.string())],
+                ["id", "at", "seed", "mask"],
+            )
 
 
 def _hits(
-    batches: Iterator[pa.RecordBatch], table: np.ndarray | None
+    batches: Iterator[pa.RecordBatch], table: np.ndarray, masks: list[str]
 ) -> Iterator[pa.RecordBatch]:
-    """(id, at, seed) of rows (id, text) whose seeds are in the table, if there is one."""
+    """(id, at, seed) of rows (id, text) whose seeds are in the table."""
     for rows, data, offsets in slices(batches):
         hashes, ends = tokens(data, offsets)
+        terms = [hashes * f for f in _FACTORS]
         row = np.repeat(np.arange(rows.num_rows), np.diff(ends))
-        for mask in range(len(MASKS)):
-            seed = seeds(hashes, mask)
-            at = np.arange(len(seed))
-            ok = at + SPAN <= ends[row[: len(seed)] + 1]
-            if table is not None:
-                ok &= table[seed >> np.uint64(64 - TABLE_BITS)]
-            at = at[ok]
+        for mask in masks:
+            seed = seeds(terms, mask)
+            at = np.flatnonzero(table[_slots(seed)[0]])
+            at = at[table[_slots(seed[at])[1]]]
+            at = at[at + len(mask) <= ends[row[at] + 1]]
             if len(at):
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).take(pa.array(row[at])), pa.array(at - ends[row[at]]), int64(seed[at])],
@@ -96,11 +159,6 @@ def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), lists], ["item_id", "words"])
 
 
-def needed(n_tokens: int, least_equal: int) -> int:
-    """Equal tokens that a stretch of an item of that many tokens has to have."""
-    return min(least_equal, -(-4 * n_tokens // 5))
-
-
 def stretches(equal: np.ndarray, need: int) -> list[tuple[int, int, int]]:
     """(start, end, equal tokens) of the stretches of an alignment that count, in order.
 
@@ -182,15 +240,21 @@ def contaminated(
         F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"),
     )
     words = items.mapInArrow(_token_lists, "item_id long, words array<long>")
-    item_seeds = cut(items.mapInArrow(lambda it: _hits(it, None), "id long, at long, seed long"))
-    shift = 64 - TABLE_BITS
-    slots = item_seeds.select(F.shiftrightunsigned("seed", shift).alias("slot")).distinct().collect()
-    table = np.zeros(2**TABLE_BITS, dtype=bool)
-    table[[r["slot"] for r in slots]] = True
-    packed = np.packbits(table)
+    item_seeds = cut(
+        items.mapInArrow(lambda it: _item_seeds(it, least_equal), "id long, at long, seed long, mask string")
+    )
+    masks = sorted(r["mask"] for r in item_seeds.select("mask").distinct().collect())
+    top = F.shiftrightunsigned("seed", 64 - TABLE_BITS)
+    low = F.shiftrightunsigned("seed", 16).bitwiseAND(F.lit(2**TABLE_BITS - 1))
+    slots = item_seeds.select(F.explode(F.array(top, low)).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    words64 = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    packed = np.zeros(2 ** (TABLE_BITS - 6), dtype="<i8")
+    packed[words64["at"].to_numpy()] = words64["bits"].to_numpy()
 
     def hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _hits(it, np.unpackbits(packed).astype(bool))
+        table = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
+        yield from _hits(it, table, masks)
 
     keyed = texts.select(F.xxhash64("text").alias("id"), "text")
     placed = (

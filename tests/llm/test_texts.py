@@ -131,6 +131,62 @@ def test_stretches_are_those_that_the_rule_asks_for():
         assert all(any(s < f and b < e for b, f, _ in got) for s, e in valid)
 
 
+def avoided(masks, need):
+    """Whether a stretch with `need` equal tokens, 75 % of all, of any length has no hit.
+
+    The most that equal (+1) and other tokens (-3) can add up to without a hit, by the
+    number of equal tokens and the last tokens, until nothing grows any more.
+    """
+    span = max(map(len, masks))
+    states = 1 << (span - 1)
+    last = np.arange(2 * states)
+    hit = np.any([(last & int(m, 2)) == int(m, 2) for m in masks], axis=0)
+    goes = np.arange(states)[~hit[1::2]]
+    best = np.full((need + 1, states), -np.inf)
+    best[0, 0] = 0
+    for _ in range(1000):
+        now = best.copy()
+        for c in range(need + 1):
+            np.maximum.at(now[c], (np.arange(states) << 1) % states, best[c] - 3)
+            np.maximum.at(now[min(c + 1, need)], (goes << 1 | 1) % states, best[c, goes] + 1)
+        if now[need].max() >= 0:
+            return True
+        if np.array_equal(now, best):
+            return False
+        best = now
+    return True
+
+
+def test_masks_hit_every_stretch_that_counts():
+    assert avoided(("110110101", "101101011", "111001101"), 12)  # the test can fail
+    for least in range(1, 15):
+        assert not avoided(decontam.masks_for(1000, least), least)
+    for n in range(1, 15):  # items of which fewer are asked for: all patterns
+        masks = [int(m, 2) << k for m in decontam.masks_for(n, 12) for k in range(n - len(m) + 1)]
+        for bits in range(1 << n):
+            if not any(bits & m == m for m in masks):
+                equal = np.array([bits >> i & 1 for i in range(n)], dtype=bool)
+                assert decontam.stretches(equal, decontam.needed(n, 12)) == []
+
+
+def test_copies_with_replaced_tokens_and_short_items_are_found(spark):
+    replaced = {  # some patterns that three masks of nine tokens do not hit, and short items
+        16: (3, 7, 11, 14), 15: (3, 7, 11), 10: (3, 6), 9: (4,), 8: (4,), 7: (3,), 6: (2,), 5: (2,), 4: (), 3: (), 2: (), 1: ()
+    }
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in replaced]
+    docs = [
+        (n, " ".join(["before", *(f"r{i}" if i in out else f"w{n}x{i}" for i in range(n)), "after"]))
+        for n, out in replaced.items()
+    ]
+    docs += [(100 + n, text) for n, text in items] + [(200, "w3x0 w3x1 w2x0 w4x0 r w4x2 w4x3"), (201, "w5x1 w5x2 w5x3 w5x4")]
+    found = decontam.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    got = {r["doc_id"]: (r["item_id"], r["n_tokens"], r["n_equal"]) for r in found}
+    assert len(got) == len(found)
+    assert got == {n: (n, n, n - len(out)) for n, out in replaced.items()} | {100 + n: (n, n, n) for n in replaced} | {201: (5, 4, 4)}
+
+
 # --- pieces ------------------------------------------------------------------------------
 
 TEXTS = [
