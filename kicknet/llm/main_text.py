@@ -66,6 +66,8 @@ MARKS = frozenset(
 )
 PARAGRAPHS = frozenset("p pre blockquote td dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may stand in a head; any other, or text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
 
 class Node:
@@ -100,11 +102,17 @@ def _left_out(tag: str, raw: str, inside: bool) -> bool:
     return bool(words & MARKS) or bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub("", raw)))
 
 
+def _after_head(node: Node, text: str | None = None) -> Node:
+    """The node that holds what comes next: an open head is left, unless for white space."""
+    return node.parent if node.tag == "head" and (text is None or text.strip()) else node
+
+
 def read_tree(page: str) -> Node:
     root = node = Node("html", None, False)
     at = 0
     for token in _TOKEN.finditer(page):
         if token.start() > at:
+            node = _after_head(node, page[at : token.start()])
             node.items.append(page[at : token.start()])
         at = token.end()
         tag = token[3]
@@ -118,6 +126,8 @@ def read_tree(page: str) -> Node:
             if up is not None and up.parent is not None:
                 node = up.parent
             continue
+        if tag not in IN_HEAD:
+            node = _after_head(node)
         closes = ENDS.get(tag, ())
         if closes:
             up = node
@@ -139,6 +149,7 @@ def read_tree(page: str) -> Node:
         elif tag not in VOID and tag in BLOCKS:
             node = new
     if at < len(page):
+        node = _after_head(node, page[at:])
         node.items.append(page[at:])
     return root
 

@@ -271,6 +271,17 @@ PAGES = [
 ]
 
 
+def test_pages_without_an_end_of_the_head():
+    for page in (
+        "<html><head><title>T</title><meta charset=utf-8><body><p>Some, text.</p></body></html>",
+        "<head><link rel=a href=b>\n<script>x</script><div><p>Some, text.</p></div>",
+        "<html><head><title>T</title>\n<p>Some, text.",
+        "<html><head><title>T</title>\nSome, text.</html>",
+        "<html><head><meta name=a></head><body><p>Some, text.</p></body></html>",
+    ):
+        assert main_text.main_text(page) == "Some, text."
+
+
 def test_main_texts(spark):
     for page, text in PAGES:
         assert main_text.main_text(page) == text
