@@ -1,11 +1,17 @@
 """Main text of web pages by tree scoring.
 
 The page is read into a tree that tolerates missing end tags. Parts that are never
-content (menus, forms, adverts, comments, ... by tag, role, class or id) are left out.
+content (menus, forms, adverts, comments, ... by tag, role, whole class name or id) are
+left out. A class or id alone does not take away an article or main element, what holds
+the best of these, or what holds most of the page's points (three quarters, or half and
+more than 10 points; outside that best element, three quarters and more than 10 points);
+one with such a word in a longer name counts only if most of the text stands in links. Threads of comments, often
+longer than the article, stay only if nothing else gives points.
 Each paragraph gives points, for being one, for its commas and its length, to its
 ancestors, fewer the farther up; an ancestor's points are discounted by the share of
-its text that stands in links. The best container is kept, grown to the article it
-lies in, with those siblings that look like content. Its blocks are the result: character
+its text that stands in links. The best container is kept with those siblings that look
+like content; if it lies in an article or main element, the outermost of these is kept
+whole and siblings are not looked at. Its blocks are the result: character
 references decoded, white space within a block turned into one space, blocks joined by
 a line feed, nothing dropped or cut.
 
@@ -56,14 +62,21 @@ NEVER = frozenset(
     "fieldset search".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: Threads of comments.
+THREADS = frozenset("comment comments disqus reply replies respond".split())
 #: Words of a class or id that mark parts which are not content.
-MARKS = frozenset(
+MARKS = THREADS | frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments "
-    "disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription share sharing social related recommended recommendations widget "
     "widgets pagination pager toolbar login signup signin search skip hidden".split()
 )
+#: Words that, put before or after a mark, leave it one: site-footer, comments-area.
+PLAIN = frozenset(
+    "site page main top bottom left right primary secondary area list box block bar container wrapper "
+    "section links buttons posts articles form slot unit thread".split()
+)
 PARAGRAPHS = frozenset("p pre blockquote td dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may stand in a head; any other, or text, ends an open one.
@@ -71,35 +84,55 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "skip", "link", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "items", "skip", "mark", "link", "points", "size", "linked", "own", "held")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
         self.items: list[Node | str] = []
         self.link = tag == "a" or (parent is not None and parent.link)
-        self.points = 0.0
+        self.mark = ""  # "whole", "thread" or "part" by class or id
+        self.own: tuple[int, float] | None = None  # size and points of a paragraph
+        self.points = self.held = 0.0
         self.size = self.linked = 0
 
 
 def _left_out(tag: str, raw: str, inside: bool) -> bool:
+    """Whether the tag, its role or its state say that it is not content."""
     if tag in NEVER or (tag == "header" and not inside):
         return True
     if not raw or tag in ("html", "body", "main"):
         return False
-    words: set[str] = set()
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            words.update(_WORDS.findall(value))
-        elif name == "role" and value in ROLES:
+        if name == "role" and value in ROLES:
             return True
         elif name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-    if inside:
-        words -= {"header"}
-    return bool(words & MARKS) or bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub("", raw)))
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub("", raw)))
+
+
+def _mark(tag: str, raw: str, inside: bool) -> str:
+    """What its classes and id say of an element."""
+    if not raw or tag in ("html", "body", "main", "article"):
+        return ""
+    found = ""
+    for name, a, b, c in _ATTRIBUTE.findall(raw):
+        if name.lower() not in ("class", "id"):
+            continue
+        for value in (a or b or c).lower().split():
+            words = _WORDS.findall(value)
+            marks = [w for w in words if w in MARKS and not (inside and w == "header")]
+            if not marks:
+                continue
+            if all(w in marks or w in PLAIN for w in words):
+                if THREADS.intersection(marks):
+                    return "thread"
+                found = "whole"
+            else:
+                found = found or "part"
+    return found
 
 
 def _after_head(node: Node, text: str | None = None) -> Node:
@@ -143,6 +176,7 @@ def read_tree(page: str) -> Node:
         while up is not None and not inside:
             inside, up = up.tag in ("article", "main"), up.parent
         new = Node(tag, node, node.skip or _left_out(tag, token[4], inside))
+        new.mark = _mark(tag, token[4], inside)
         node.items.append(new)
         if tag not in VOID and not token[4].endswith("/"):
             node = new
@@ -165,6 +199,7 @@ def _measure(root: Node) -> list[Node]:
         todo.extend(x for x in node.items if isinstance(x, Node))
     order.reverse()
     for node in order:
+        node.size = node.linked = 0
         for x in node.items:
             if isinstance(x, Node):
                 node.size += x.size
@@ -186,15 +221,66 @@ def _text(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
+def _own_points(node: Node) -> float:
+    """What a paragraph gives; 0 for other elements."""
+    if node.own is not None and node.own[0] == node.size:
+        return node.own[1]
+    points = 0.0
+    if node.size and 2 * node.linked <= node.size and (
+        node.tag in PARAGRAPHS
+        or (node.tag in ("div", "section", "article") and any(isinstance(x, str) and x.strip() for x in node.items))
+    ):
+        text = _text(node)
+        points = 1 + text.count(",") + min(len(text) / 100, 3)
+    node.own = (node.size, points)
+    return points
+
+
+def _decide(order: list[Node]) -> bool:
+    """Leaves out marked parts that are not the content; whether there are any."""
+    if not any(node.mark for node in order):
+        return False
+    threads: set[Node] = set()
+    for node in reversed(order):  # parents first
+        if node.mark == "thread" or node.parent in threads:
+            threads.add(node)
+    counted = [node for node in order if node not in threads]
+    if not any(_own_points(node) for node in counted):
+        counted = order
+    total = 0.0
+    for node in counted:
+        node.held += (own := _own_points(node))
+        total += own
+        if node.parent is not None:
+            node.parent.held += node.held
+    up = best = max((n for n in counted if n.tag in ("article", "main") and n.held), key=lambda n: n.held, default=None)
+    kept: set[Node] = set()
+    while up is not None:
+        kept.add(up)
+        up = up.parent
+    within = {best} - {None}
+    out = False
+    for node in reversed(order):
+        if node.parent in within:
+            within.add(node)
+        nearly_all, long = 4 * node.held > 3 * total, node.held > 10
+        if best is None or node in within:
+            most = 2 * node.held > total and (long or nearly_all)
+        else:
+            most = nearly_all and long
+        if node.parent is not None and node.parent.skip:
+            node.skip = True
+        elif node.mark and node not in kept and not most:
+            node.skip = node.mark != "part" or 2 * node.linked > node.size
+        out |= node.skip
+    return out
+
+
 def _score(order: list[Node]) -> Node | None:
     for node in order:
-        direct = any(isinstance(x, str) and x.strip() for x in node.items)
-        if not (node.tag in PARAGRAPHS or (node.tag in ("div", "section", "article") and direct)):
-            continue
-        if not node.size or 2 * node.linked > node.size:
+        points = _own_points(node)
+        if not points:
             continue
-        text = _text(node)
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
         up = node.parent if node.tag in PARAGRAPHS else node
         far = 0
         while up is not None:
@@ -212,6 +298,8 @@ def _score(order: list[Node]) -> Node | None:
 
 def _kept(root: Node) -> list[Node]:
     order = _measure(root)
+    if _decide(order):
+        order = _measure(root)
     best = _score(order)
     if best is None:
         return [root]

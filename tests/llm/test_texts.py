@@ -282,6 +282,32 @@ def test_pages_without_an_end_of_the_head():
         assert main_text.main_text(page) == "Some, text."
 
 
+def test_wrappers_that_are_named_like_other_parts_keep_the_article():
+    lines = ["words, " * 19 + "words,", "more, text " * 9 + "more, text"]
+    text = "".join(f"<p>{line}</p>" for line in lines)
+    comments = f"<div id=comments class=comments-area><article><p>{'I, ' * 400}</p></article></div>"
+    for name in (
+        "class='content has-sidebar'", "class='no-sidebar'", "class='with-menu'", "class='elementor-widget-container'",
+        "class='social-science'", "id='search-results'", "class='search'",
+    ):
+        around = f"<body><div class=nav>Menu</div>%s<div class='site-footer'><p>foot, er</p></div>{comments}</body>"
+        for page in (
+            around % f"<div {name}>{text}</div>",
+            around % f"<div {name}><article class='social'>{text}</article></div>",
+            around % f"<main><div {name}>{text}</div><div class=related><article><p>teaser</p></article></div></main>",
+            around % f"<article {name}>{text}</article>",
+            around % f"<article><p>teaser</p></article><div {name}>{text}</div>" if "search'" in name else around % text,
+        ):
+            assert main_text.main_text(page) in ("\n".join(lines), "teaser\n" + "\n".join(lines)), page
+    parts = "".join(f"<div class='elementor-widget-container'><p>{w}, text</p></div>" for w in "abcde")
+    assert main_text.main_text(f"<body>{parts}</body>") == "\n".join(f"{w}, text" for w in "abcde")
+    # a longer advert does not take the place of a short article; links under such a name are left out
+    page = "<div class=ad>Buy, this, now, please, do.</div><article><p>Short.</p></article>"
+    assert main_text.main_text(page) == "Short."
+    page = f"<body>{text}<div class=top-news-menu>x <a href=y>Sections, and, links</a></div></body>"
+    assert main_text.main_text(page) == "\n".join(lines)
+
+
 def test_main_texts(spark):
     for page, text in PAGES:
         assert main_text.main_text(page) == text
