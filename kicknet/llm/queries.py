@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kicknet.llm import queries_audit
 from kicknet.llm import chat, decontam, main_text, pieces, quality, repeats, shingle_join, token_counts, toxicity, vectors
 from kicknet.llm.labelled import held_out
 
@@ -219,9 +220,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_near_vectors": op10_near_vectors,
+    **queries_audit.QUERIES,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op10_near_vectors": OP10_SQL,
+    **queries_audit.ORACLES,
 }
