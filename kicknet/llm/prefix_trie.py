@@ -1,33 +1,35 @@
 """Conversation prefix trie: which conversations begin with the same turns.
 
 A node of depth d is a distinct sequence of the first d turns (role and text); the root
-has none. The trie is found by peeling. All distinct conversations are sorted by their
-number of turns, and from the deepest level up
+has none. The trie is found by peeling, from the greatest depth up. At each depth
 
-1. the conversations that end at this depth are merged with the nodes that survive from
-   the level below: one group, one node;
+1. the conversations that end there are merged with the nodes that survive from
+   below: one group, one node;
 2. the last turn of every node is stripped, which makes it a row of its parent's group.
 
-So a level's groups are complete when it is reached, and members, children, leaves and
+So a group is complete when its depth is reached, and members, children, leaves and
 saved tokens of whole subtrees are sums over the rows that are merged: nodes are
-discovered and aggregated in one pass, with one shuffle of the surviving nodes a level.
-Equal conversations are one row from the start (combined before the shuffle), so a
-conversation that a third of all people have had is no hot group, nor is a common first
-turn: at each level its children come as sums of each task.
+discovered and aggregated in one pass. Equal conversations are one row from the
+start (combined before the shuffle), so a conversation that a third of all people have had
+is no hot group, nor is a common first turn: its children come as sums of each task.
 
-A turn is known by 128 bits of the SHA-256 of its role and text, and a sequence by its
-turns; texts are hashed where they are read and never shuffled. Parents are joined to their
+Where a node meets no other, stripping changes nothing but its length, so it is
+stripped at once down to the next depth at which it is merged. That depth is known from the
+number of distinct conversations that pass through each prefix, which grows there.
+There is one job for each depth at which anything is merged, not for each turn of
+the longest conversation; every level is written to the shared folder, and a lost executor
+costs a part of one.
+
+A prefix is known by 128 bits of a hash chained over the SHA-256 of its turns; texts are
+hashed where they are read and never shuffled. Parents are joined to their
 children once, at the end. Ids of the conversations that end at a node are written into
 one digest: they are joined in runs of `RUN` ids before the node's runs are
 read in order, as a stream.
 
-Each level is written to the shared folder, so the number of jobs is the number of turns
-of the longest conversation, and a lost executor costs a part of one level.
-
 Turns are ordered by (turn, digest of role and text), nulls first; null role or text
 counts as empty; repeated rows are turns of their own. Rows with a null conversation
 id belong to none and are left out. Other columns are ignored. A table without
-conversations gives the root alone, with no id.
+conversations gives the root alone, with no id. A conversation is a row, of some 40 bytes a turn.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ from kicknet.llm.graph import cut, drop
 #: Ids of one span of this many numbers are joined to one string first.
 RUN = 4096
 _PATH = "array<struct<id:binary,bytes:bigint>>"
+_LINKS = "array<struct<key:binary,total:bigint>>"
+_CHAIN = "array<struct<key:binary,total:bigint,through:bigint>>"
 
 
 def turn_paths(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -94,53 +98,151 @@ def spliced(paths: DataFrame, donor: Column, taken: Column, most: int) -> DataFr
     )
 
 
-def _peeled(ended: DataFrame, deepest: int) -> list[DataFrame]:
-    """One table of nodes for each depth, from the deepest to the root."""
+def _chained(paths: DataFrame) -> DataFrame:
+    """conv_id and `chain`: for each prefix, its key and the bytes of its turns."""
+
+    def link(a: Column, t: Column) -> Column:
+        key = F.unhex(F.substring(F.sha2(F.concat(a["key"], t["id"]), 256), 1, 32))
+        total = a["total"] + t["bytes"]
+        entry = F.struct(key.alias("key"), total.alias("total"))
+        return F.struct(key.alias("key"), total.alias("total"), F.array_append(a["chain"], entry).alias("chain"))
+
+    start = F.expr(f"named_struct('key', binary(''), 'total', 0L, 'chain', cast(array() as {_LINKS}))")
+    return paths.select("conv_id", F.aggregate("path", start, link, lambda a: a["chain"]).alias("chain"))
+
+
+def _counted(chained: DataFrame) -> DataFrame:
+    """Chains with `through`, the number of distinct conversations with each prefix."""
+    prefixes = chained.select("conv_id", F.posexplode("chain.key").alias("at", "key"))
+    through = prefixes.groupBy("key").agg(F.count("*").alias("through"))
+    counts = (
+        prefixes.join(through, "key")
+        .groupBy("conv_id")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "through"))).alias("counts"))
+    )
+    return chained.join(counts, "conv_id", "left").select(
+        "conv_id",
+        "n_convs",
+        F.when(F.size("chain") == 0, F.expr(f"cast(array() as {_CHAIN})"))
+        .otherwise(
+            F.zip_with(
+                "chain",
+                "counts",
+                lambda c, n: F.struct(c["key"].alias("key"), c["total"].alias("total"), n["through"].alias("through")),
+            )
+        )
+        .alias("chain"),
+    )
+
+
+def _total(depth: str) -> Column:
+    """Bytes of the first turns of a chain."""
+    return F.expr(f"if({depth} < 1, 0L, chain[greatest({depth}, 1) - 1].total)")
+
+
+def _next_merge() -> Column:
+    """The next depth above a row at which others join it; the root if there is none."""
+    return F.expr(
+        "coalesce(array_max(transform(filter(sequence(0, size(chain) - 2),"
+        " i -> chain[i].through > element_at(chain, -1).through), i -> i + 1)), 0)"
+    )
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    """Nodes as rows of the groups they are merged into, stripped down to the depth `to`."""
+    return df.select(
+        F.expr("slice(chain, 1, to)").alias("chain"),
+        "conv_id",
+        "n_convs",
+        F.lit(1).cast("long").alias("n_children"),
+        "n_leaves",
+        (F.col("saved_tokens") + (F.col("n_convs") - 1) * (_total("size(chain) - 1") - _total("to"))).alias("saved_tokens"),
+    )
+
+
+def _finished(nodes: DataFrame) -> DataFrame:
+    """Nodes with the depth `to` that they are merged at next."""
+    return nodes.select(
+        "*", F.when(F.size("chain") < 2, 0).otherwise(_next_merge()).cast("int").alias("to")
+    )
+
+
+def _peeled(ended: DataFrame) -> list[DataFrame]:
+    """Tables of nodes: lone ends, then one for each depth of a merge, up to the root."""
+    zero = F.lit(0).cast("long")
+    own = (F.col("n_convs") - 1) * (_total("size(chain)") - _total("size(chain) - 1"))
+    # an end that no other conversation passes is a leaf, complete at once
+    ends = ended.withColumn("alone", F.expr("coalesce(try_element_at(chain, -1).through, 2) = 1"))
+    leaves = ends.where("alone").select(
+        "chain",
+        "conv_id",
+        "n_convs",
+        zero.alias("n_children"),
+        F.lit(1).cast("long").alias("n_leaves"),
+        own.alias("saved_tokens"),
+    )
+    waiting = cut(ends.where("not alone").drop("alone").withColumn("depth", F.size("chain")))
+    places = F.expr(
+        "filter(sequence(0, size(chain)), i -> i = 0"
+        " or (i < size(chain) and chain[i - 1].through > chain[i].through)"
+        " or (i = size(chain) and chain[i - 1].through > 1))"
+    )
+    merges = {r[0] for r in ended.select(F.explode(places)).distinct().collect()}
     levels: list[DataFrame] = []
-    for depth in range(deepest, -1, -1):
-        rows = ended.where(F.col("depth") == depth).select(
-            "path",
+    reached: list[set[int]] = []  # depths that the rows of a level are merged at
+
+    def keep(nodes: DataFrame) -> None:
+        levels.append(cut(_finished(nodes)))
+        reached.append({r[0] for r in levels[-1].select("to").distinct().collect()})
+
+    keep(leaves)
+    for depth in sorted(merges, reverse=True):
+        rows = waiting.where(F.col("depth") == depth).select(
+            "chain",
             "conv_id",
             "n_convs",
-            F.lit(0).cast("long").alias("n_children"),
-            F.lit(0).cast("long").alias("n_leaves"),
-            F.lit(0).cast("long").alias("saved_tokens"),
+            *(zero.alias(c) for c in ("n_children", "n_leaves", "saved_tokens")),
         )
-        if levels:
-            rows = rows.unionByName(
-                levels[-1].select(
-                    F.slice("path", 1, depth).alias("path"),
-                    "conv_id",
-                    "n_convs",
-                    F.lit(1).cast("long").alias("n_children"),
-                    "n_leaves",
-                    "saved_tokens",
-                )
-            )
-        nodes = rows.groupBy("path").agg(
+        for level, to in zip(levels, reached):
+            if depth in to:
+                below = level.where((F.col("to") == depth) & (F.size("chain") > depth))
+                rows = rows.unionByName(_rows(below))
+        nodes = rows.groupBy("chain").agg(
             F.min("conv_id").alias("conv_id"),
-            F.sum("n_convs").alias("n_convs"),
-            F.sum("n_children").alias("n_children"),
-            F.sum("n_leaves").alias("n_leaves"),
-            F.sum("saved_tokens").alias("saved_tokens"),
+            *(F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")),
         )
-        last = F.coalesce(F.try_element_at("path", F.lit(-1))["bytes"], F.lit(0))
-        levels.append(
-            cut(
-                nodes.select(
-                    "path",
-                    F.lit(depth).cast("long").alias("depth"),
-                    "conv_id",
-                    "n_convs",
-                    "n_children",
-                    F.greatest("n_leaves", F.lit(1).cast("long")).alias("n_leaves"),
-                    (F.col("saved_tokens") + (F.col("n_convs") - 1) * last).alias("saved_tokens"),
-                )
+        keep(
+            nodes.withColumns(
+                {"n_leaves": F.greatest("n_leaves", F.lit(1)), "saved_tokens": F.col("saved_tokens") + own}
             )
         )
+    drop(waiting)
     return levels
 
 
+def _spelled(nodes: DataFrame) -> DataFrame:
+    """One row a node: those between two merges are written out."""
+    depth = F.size("chain")
+    rows = nodes.withColumn("at", F.explode(F.when(depth == 0, F.array(F.lit(0))).otherwise(F.expr("sequence(to + 1, size(chain))"))))
+    last = F.col("at") == depth
+
+    def key(at: str) -> Column:
+        return F.expr(f"if({at} < 1, binary(''), chain[greatest({at}, 1) - 1].key)")
+
+    return rows.select(
+        key("at").alias("node"),
+        F.when(F.col("at") > 0, key("at - 1")).alias("parent"),
+        F.col("at").cast("long").alias("depth"),
+        "conv_id",
+        "n_convs",
+        F.when(last, F.col("n_children")).otherwise(1).cast("long").alias("n_children"),
+        "n_leaves",
+        F.when(last, F.col("saved_tokens"))
+        .otherwise(F.col("saved_tokens") + (F.col("n_convs") - 1) * (_total("size(chain) - 1") - _total("at - 1")))
+        .alias("saved_tokens"),
+    )
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 over the runs of each node, which come in order; one run at a time is held."""
     node, digest = None, None
@@ -172,48 +274,30 @@ def end_digests(ends: DataFrame) -> DataFrame:
     return ordered.select("node", "ids").mapInArrow(_digests, "ended binary, ends_sha256 string")
 
 
-def _node(path: Column) -> Column:
-    """A sequence's name: the SHA-256 of its turns."""
-    ids = F.transform(path, lambda t: F.hex(t["id"]))
-    return F.unhex(F.sha2(F.array_join(ids, ""), 256))
-
-
 def trie(paths: DataFrame) -> DataFrame:
     """All nodes of the conversations (conv_id, path): one row a node.
 
     Columns: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children,
     n_leaves and saved_tokens of the subtree, ends_sha256.
     """
-    paths = cut(paths)
-    ended = cut(
-        paths.groupBy("path")
-        .agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
-        .withColumn("depth", F.size("path"))
-        .sortWithinPartitions("depth")
-    )
-    deepest = ended.agg(F.max("depth")).first()[0] or 0
-    levels = _peeled(ended, deepest)
-    # a table without conversations: the root all the same
-    root = paths.sparkSession.range(1).select(
-        F.expr(f"cast(array() as {_PATH})").alias("path"),
-        *(F.lit(v).cast("long").alias(c) for c, v in (("depth", 0), ("conv_id", None), ("n_convs", 0), ("n_children", 0), ("n_leaves", 1), ("saved_tokens", 0))),
-    )
+    convs = cut(_chained(paths))
+    ended = cut(_counted(convs.groupBy("chain").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))))
+    levels = _peeled(ended)
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
-    if not ended.limit(1).count():
-        nodes = root
-    named = cut(
-        nodes.select(
-            _node(F.col("path")).alias("node"),
-            F.when(F.col("depth") > 0, _node(F.expr("slice(path, 1, size(path) - 1)"))).alias("parent"),
-            *(c for c in nodes.columns if c != "path"),
+    named = _spelled(nodes)
+    if not ended.limit(1).count():  # the root all the same
+        named = convs.sparkSession.sql(
+            "select binary('') node, binary(null) parent, 0L depth, bigint(null) conv_id, 0L n_convs,"
+            " 0L n_children, 1L n_leaves, 0L saved_tokens"
         )
-    )
+    named = cut(named)
     drop(*levels)
     top = named.where("depth = 0").select("conv_id").first()[0]
     above = named.where("depth > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("_above"))
-    digests = end_digests(paths.select(_node(F.col("path")).alias("node"), "conv_id"))
+    end = F.expr("coalesce(try_element_at(chain, -1).key, binary(''))")
+    digests = end_digests(convs.select(end.alias("node"), "conv_id"))
     # children of the root need no join: all have the same parent
     return (
         named.join(above, "parent", "left")

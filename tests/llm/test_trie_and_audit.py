@@ -46,6 +46,8 @@ def turn_rows(rng):
             text = first if turn == 0 else rng.choice(["yes", "no", "é" * 3, "x" * 5000])
             rows.append((conv, turn if turn else None, rng.choice(["user", None]) if turn > 2 else "user", text, "clash", 1))
     rows += [(100 + i, 1, "user", "the same", "clash", 1) for i in range(300)]
+    for conv, n, odd in ((500, 40, None), (505, 40, 30), (510, 25, None), (515, 60, 59), (520, 60, 59)):
+        rows += [(conv, t, "user", "odd" if t == odd else f"turn {t}", "clash", 1) for t in range(n)]
     return rows
 
 
