@@ -1,11 +1,11 @@
-"""Registered queries of the prefix trie and the filter audit, and their SQL."""
+"""Registered queries of the prefix trie, the language model and the filter audit, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kicknet.llm import filter_audit, prefix_trie
+from kicknet.llm import filter_audit, pitman_yor, prefix_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ from kinds n join below b on b.ids = n.ids left join nodes p on n.depth > 0 and
 """
 
 
+def op12_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document in a Pitman-Yor model of word pairs, six sevenths learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return pitman_yor.language_scores(docs, learn)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes, for every language and order of the filters."""
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -87,5 +94,5 @@ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as ke
 from counted
 """
 
-QUERIES = {"op11_prefix_trie": op11_prefix_trie, "op13_filter_audit": op13_filter_audit}
+QUERIES = {"op11_prefix_trie": op11_prefix_trie, "op12_language_scores": op12_language_scores, "op13_filter_audit": op13_filter_audit}
 ORACLES = {"op11_prefix_trie": OP11_SQL, "op13_filter_audit": OP13_SQL}
