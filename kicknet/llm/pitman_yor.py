@@ -77,6 +77,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def small(array: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as they need."""
+    return array.astype(np.min_scalar_type(int(array.max(initial=0))))
+
+
 def _out(rows: list[tuple]) -> pa.RecordBatch:
     kind, dst, src, data, sums = zip(*rows) if rows else ((),) * 5
     types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()))
@@ -187,10 +192,13 @@ def _bounds(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(of))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], plan: Plan, documents: bool) -> Iterator[pa.RecordBatch]:
+def _pairs(
+    batches: Iterator[pa.RecordBatch], plan: Plan, documents: bool, part: int, parts: int
+) -> Iterator[pa.RecordBatch]:
     """A chunk's distinct pairs for each block: contexts and run lengths, words, training counts.
 
     With `documents`, also which documents of the chunk have the pair, and how often.
+    Only blocks whose number is `part` modulo `parts` are served.
     """
     for batch in batches:
         for r in range(batch.num_rows):
@@ -201,6 +209,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], plan: Plan, documents: bool) -> It
             u = _contexts(tokens, ends)
             doc = np.repeat(np.arange(len(learn), dtype=np.uint32), np.diff(ends))
             block = plan.block(u, tokens)
+            if parts > 1:
+                on = np.flatnonzero(block % parts == part)
+                u, tokens, doc, block = u[on], tokens[on], doc[on], block[on]
+            if not len(u):
+                continue
             order = np.lexsort((tokens, u, block))  # stable, so documents stay in order
             u, w, doc, block = u[order], tokens[order], doc[order], block[order]
             new = np.ones(len(u), bool)
@@ -217,10 +230,10 @@ def _pairs(batches: Iterator[pa.RecordBatch], plan: Plan, documents: bool) -> It
             pu, pw, pb = u[at], w[at], block[at]
             for a, b in zip(*_bounds(pb)):
                 first, last = _bounds(pu[a:b])
-                arrays = [pu[a:b][first], (last - first).astype(np.uint32), pw[a:b], count[a:b]]
+                arrays = [pu[a:b][first], small(last - first), pw[a:b], small(count[a:b])]
                 if documents:
                     x, y = link_ends[a], link_ends[b]
-                    arrays += [per_pair[a:b], doc[link[x:y]], times[x:y]]
+                    arrays += [small(per_pair[a:b]), small(doc[link[x:y]]), small(times[x:y])]
                 rows.append((PAIRS, int(pb[a]), c["chunk"].as_py(), pack(*arrays), None))
             yield _out(rows)
 
@@ -569,15 +582,15 @@ def language_scores(
     spread = np.array([min(blocks, 1 + 2 * r["n"] * blocks // tokens) for r in often], np.uint64)
     plan = Plan(blocks, heavy[np.argsort(heavy)], spread[np.argsort(heavy)])
 
-    def pairs(plan: Plan, documents: bool) -> DataFrame:
+    def pairs(plan: Plan, documents: bool = False, part: int = 0, parts: int = 1) -> DataFrame:
         return chunks.select("chunk", "learn", "ends", "tokens").mapInArrow(
-            lambda it: _pairs(it, plan, documents), ROW
+            lambda it: _pairs(it, plan, documents, part, parts), ROW
         )
 
     def of_kind(df: DataFrame, kind: int) -> DataFrame:
         return df.where(F.col("kind") == kind)
 
-    counted = cut(_stage(pairs(plan, False), count_block, plan))
+    counted = cut(_stage(pairs(plan), count_block, plan))
     plan.discount = _share(*_sums(counted, 2))
     plan.shared = _shared(counted, plan, 2)
     asked = cut(_stage(of_kind(counted, WORDS), merge_words, plan, False))
@@ -586,14 +599,20 @@ def language_scores(
     plan.root_discount = _share(once, twice)
     plan.root = np.array([[customers, tables]])
 
-    seated = cut(_stage(pairs(plan, False).unionByName(of_kind(asked, WORDS)), seat_block, plan))
+    seated = cut(_stage(pairs(plan).unionByName(of_kind(asked, WORDS)), seat_block, plan))
     drop(asked)
     answers = cut(_stage(of_kind(seated, WORDS), merge_words, plan, True))
     plan.shared = _shared(seated, plan, 1 + SAMPLES)
     plan.root = np.array(_sums(answers, 2 + 2 * SAMPLES)[2:]).reshape(SAMPLES, 2)
 
-    inputs = pairs(plan, True).unionByName(of_kind(answers, WORDS)).unionByName(of_kind(seated, STATE))
-    scored = _stage(inputs, score_block, plan).select(F.col("dst").alias("chunk"), "data")
+    # half of the blocks at a time: rows with documents are the largest that are shuffled
+    scored = []
+    for part in range(2):
+        known = of_kind(answers, WORDS).unionByName(of_kind(seated, STATE)).where(F.col("dst") % 2 == part)
+        sums = _stage(pairs(plan, True, part, 2).unionByName(known), score_block, plan)
+        scored.append(cut(sums.select(F.col("dst").alias("chunk"), "data")))
+    drop(answers, seated)
+    scored = scored[0].unionByName(scored[1])
     meta = chunks.select("chunk", "ids", "learn", "ends")
     final = meta.unionByName(scored, allowMissingColumns=True).groupBy("chunk").applyInArrow(
         _final,
