@@ -11,6 +11,7 @@ SERIAL_ORIGIN = "1899-12-30"
 # serial numbers of 0001-01-01 and 9999-12-31
 FIRST_SERIAL, LAST_SERIAL = -693593, 2958465
 PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+FULL_CLOCK = r"^([01][0-9]|2[0-3]):[0-5][0-9]$"
 CLOCK = r"^\s*([01]?[0-9]|2[0-3]):([0-5][0-9])(:[0-5][0-9](\.[0-9]*)?)?\s*$"
 
 
@@ -66,4 +67,6 @@ def typed_clock(value: Column, dtype: T.DataType) -> Column:
     # most times are text already, and a failing cast is much dearer than a look for the colon
     hour, minute = F.regexp_extract(value, CLOCK, 1), F.regexp_extract(value, CLOCK, 2)
     clock = F.when(value.rlike(CLOCK), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute))
-    return F.when(value.contains(":"), clock).otherwise(serial_to_clock(to_number(value)))
+    # nor does text that has the result's form already need to be taken apart
+    full = (F.length(value) == 5) & value.rlike(FULL_CLOCK)
+    return F.when(full, value).when(value.contains(":"), clock).otherwise(serial_to_clock(to_number(value)))

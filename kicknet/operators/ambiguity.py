@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, divide, spreading_sum, whole
-from kicknet.operators.matching import null_safe_join, repeat_rows
+from kicknet.operators.matching import lead_hash, null_safe_join
+from kicknet.sources.workspace import written
 
 RPKC, DPAC, APTC = "RPKC-S", "DPAC-S", "APTC-S"
 METHODS = (RPKC, DPAC, APTC)
@@ -120,7 +121,7 @@ def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, se
         rows.withColumn("_level", _level(ranks))
         .where("_level is not null")
         .withColumn("_count", F.when(count < 0, negative.cast("double")).otherwise(count))
-        .groupBy(*group, *ranks, "_level")
+        .groupBy(lead_hash(rows, [*group, *ranks]).alias("_lead"), *group, *ranks, "_level")
         .agg(
             spreading_sum(F.col("_count")).alias("_count"),
             any_true(~usable).alias("_unusable"),
@@ -131,10 +132,12 @@ def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, se
                         (-F.col("_count")).alias("rank"),
                         tie.alias("tie"),
                         whole(rest).alias("row"),
+                        F.col("_number").alias("number"),
                     ),
                 )
             ).alias("_top"),
         )
+        .drop("_lead")
         .withColumn("_extra", F.lit(0.0))
     )
 
@@ -161,6 +164,7 @@ def _largest_lines(rows: DataFrame, group, ranks, count: Column, order, rest, se
 
 
 def _resolve_rpkc(df, group, ranks, to_filter) -> DataFrame:
+    df = written(df)
     lowest, key = F.col(ranks[0]), group + ranks
     lines = _keep_lines(df, group, ranks).where((F.col("_level") > 1) & F.col("_keep"))
     # rows with a value at the lowest rank are kept whatever the group holds
@@ -194,25 +198,18 @@ def _resolve_aptc(df, group, ranks, count, to_filter, order, seed) -> DataFrame:
     rest = [c for c in order if c not in key]
     rest += [c for c in columns if c not in key and c not in rest]
     rows = df.where(_level(ranks).isNotNull()) if to_filter else df
+    # numbered once, rows tell a receiver from its copies: one pass over the joined rows
+    rows = written(rows.withColumn("_number", F.monotonically_increasing_id()))
     lines = _largest_lines(rows, group, ranks, count, order, rest, seed)
     receives = F.col("_extra").isNull() | (F.col("_extra") != 0)
-    lines = lines.withColumn("_receiver", F.when(F.col("_keep") & receives, F.col("_top.row")))
+    lines = lines.withColumn("_receiver", F.when(F.col("_keep") & receives, F.col("_top.number")))
     if to_filter:
         lines = lines.where("_keep")
     carried = ["_keep", "_receiver", "_extra"]
-    joined = null_safe_join(rows, lines, key, "inner" if to_filter else "left", carried).select(
-        *columns,
-        F.coalesce(F.col("_keep"), F.lit(False)).alias("_keep"),
-        F.coalesce(whole(rest) == F.col("_receiver"), F.lit(False)).alias("_receives"),
-        "_extra",
-    )
-    added = [] if to_filter else [(~F.col("_keep")).alias("is_ambiguous")]
-    passing = joined.where(~F.col("_receives")).select(*columns, *added, count.alias("new_count"))
-    # few rows equal a receiver; of several copies exactly one receives
-    taking = joined.where("_receives").groupBy(*columns, "_keep", "_extra")
-    taking = repeat_rows(taking.agg(F.count("*").alias("_copies")), F.col("_copies"), "_copy")
-    gained = F.when(F.col("_copy") == 1, count + F.col("_extra")).otherwise(count)
-    return passing.unionByName(taking.select(*columns, *added, gained.alias("new_count")))
+    joined = null_safe_join(rows, lines, key, "inner" if to_filter else "left", carried)
+    gained = F.when(F.col("_number") == F.col("_receiver"), count + F.col("_extra")).otherwise(count)
+    added = [] if to_filter else [(~F.coalesce("_keep", F.lit(False))).alias("is_ambiguous")]
+    return joined.select(*columns, *added, gained.alias("new_count"))
 
 
 def resolve_ambiguous(

@@ -45,6 +45,20 @@ def broadcast_if_small(
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
+def lead_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A hash of the columns, equal for equal values, as a first grouping or window key.
+
+    Aggregates that can not hash, such as a minimum over structs, sort their rows by the
+    keys: with a number in front nearly all pairs are compared by it alone.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    # adding 0 makes -0.0 and 0.0 the same bits
+    floats = (T.DoubleType, T.FloatType)
+    return F.xxhash64(
+        *[F.col(f"`{c}`") + F.lit(0.0) if isinstance(types[c], floats) else F.col(f"`{c}`") for c in columns]
+    )
+
+
 def null_safe_join(
     left: DataFrame, right: DataFrame, columns: Sequence[str], how: str, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -93,7 +107,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) ->
     """
     order = [c for c in order_cols if c not in keys]
     rest = [c for c in df.columns if c not in keys and c not in order]
-    first = df.groupBy(*keys).agg(F.min(whole(order + rest)).alias("_first"))
+    first = df.groupBy(lead_hash(df, keys).alias("_lead"), *keys).agg(
+        F.min(whole(order + rest)).alias("_first")
+    )
     return first.select(
         *[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns]
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, whole
-from kicknet.operators.matching import anti_join_all, keep_first, null_safe_join
+from kicknet.operators.matching import anti_join_all, keep_first, lead_hash, null_safe_join
 from kicknet.operators.taxa import CLASS, FAMILY, GENUS, GROUP, NAME, ORDER, PHYLUM, TRIBE
 
 # rank that must be missing -> rank whose value is counted once
@@ -77,10 +77,14 @@ def _first_row_marks(
         )
     )
     body = [c for c in content if c not in sample_key]
+    entered = rows.select(
+        *sample_key, F.explode(entries).alias("_entry"), whole(order_cols + body).alias("_row")
+    ).select(*sample_key, F.col("_entry.rule").alias("_rule"), F.col("_entry.value").alias("_value"), "_row")
+    keys = [*sample_key, "_rule", "_value"]
     first = (
-        rows.select(*sample_key, F.explode(entries).alias("_entry"), whole(order_cols + body).alias("_row"))
-        .groupBy(*sample_key, F.col("_entry.rule").alias("_rule"), F.col("_entry.value").alias("_value"))
+        entered.groupBy(lead_hash(entered, keys).alias("_lead"), *keys)
         .agg(F.min("_row").alias("_first"))
+        .drop("_lead")
     )
     rank_value = F.coalesce(
         *[F.when(F.col("_rule") == rank, F.col("_first")[rank]) for rank in COARSE_RANKS.values()],

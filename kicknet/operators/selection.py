@@ -106,9 +106,9 @@ def numeric_counts(df: DataFrame, count_col: str, mixed: str = "refuse") -> Data
     """Counts above -1, of a column that as a whole is numeric.
 
     A text column, as from a csv file, is numeric if every value that is not missing
-    is a plain number; one aggregate over the column finds out. One with other text
-    is refused, or gives no rows at all with ``mixed="empty"``, as a spreadsheet
-    column of type text does.
+    is a plain number; a subquery of the plan finds out, so nothing runs before the
+    result is asked for. One with other text is refused then, or gives no rows at
+    all with ``mixed="empty"``, as a spreadsheet column of type text does.
     """
     if mixed not in ("refuse", "empty"):
         raise ValueError(f"mixed has to be refuse or empty, not {mixed!r}")
@@ -116,10 +116,10 @@ def numeric_counts(df: DataFrame, count_col: str, mixed: str = "refuse") -> Data
     if not isinstance(dtype, T.NumericType):
         number = to_number(column)
         known = (F.trim(column.cast("string")) != "") & number.isNull()
-        odd = df.agg(F.max(F.when(known, column.cast("string")))).first()[0]
-        if odd is not None:
-            if mixed == "refuse":
-                raise ValueError(f"{count_col} is not numeric: it holds {odd!r}")
-            return df.where(F.lit(False))
-        df = df.withColumn(count_col, number)
+        odd = df.agg(F.max(F.when(known, column.cast("string")))).scalar()
+        numeric = odd.isNull()
+        if mixed == "refuse":
+            said = F.concat(F.lit(f"{count_col} is not numeric: it holds '"), odd, F.lit("'"))
+            numeric = F.when(numeric, True).otherwise(F.raise_error(said).cast("boolean"))
+        df = df.where(numeric).withColumn(count_col, number)
     return df.where(F.col(f"`{count_col}`") > -1)

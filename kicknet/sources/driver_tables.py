@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kicknet.operators.selection import ColumnRoles
+from kicknet.sources.workspace import once
 
 ROLES = ColumnRoles(
     mlid="site",
@@ -88,8 +89,8 @@ def derive_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The taxa master."""
-    return derive_taxa(spark, sf_dir)
+    """The taxa master, derived once a session."""
+    return once(spark, "taxa", [f"{sf_dir}/part.parquet"], lambda: derive_taxa(spark, sf_dir))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

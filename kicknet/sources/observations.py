@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
+import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 FORMATS = ("csv", "parquet")
 # columns a scan adds: they give the row order of the files
 ROW_ORDER = ("_file", "_block", "_line")
+# bytes read of a file to find its header, and files read at once
+HEAD_BYTES, HEADS_AT_ONCE = 1 << 16, 16
 
 
 def _check_format(fmt: str) -> None:
@@ -21,30 +23,45 @@ def _check_format(fmt: str) -> None:
         raise ValueError(f"format has to be one of {', '.join(FORMATS)}, not {fmt!r}")
 
 
-def headers_of(spark: SparkSession, path: str, line: int) -> dict[tuple[str, ...], list[str]]:
-    """The files under a path by the column names in their line ``line`` (from 1).
+def _head_line(spark: SparkSession, file: str, line: int) -> str | None:
+    """Line ``line`` (from 1) of a file; None if it has fewer.
 
-    Tasks read the lines of the files' first blocks; one row per file is collected.
+    Reads ``HEAD_BYTES`` of it, and more only while the line has not ended.
     """
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    path = hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    try:
+        head, size = b"", HEAD_BYTES
+        while True:
+            more = bytes(stream.readNBytes(size))
+            head, ended = head + more, len(more) < size
+            lines = re.split(rb"\r\n|\n|\r", head)
+            # the last piece may go on, unless the file ends with it
+            if len(lines) > line or (ended and len(lines) == line and lines[-1]):
+                return lines[line - 1].decode("utf-8", "replace")
+            if ended:
+                return None
+            size = len(head)
+    finally:
+        stream.close()
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, seen = None, 0
-        for rows in batches:
-            found = []
-            for name, value in zip(rows["file"], rows["value"]):
-                file, seen = (file, seen + 1) if name == file else (name, 1)
-                if seen == line:
-                    found.append((name, value))
-            yield pd.DataFrame(found, columns=["file", "value"])
 
-    lines = (
-        spark.read.text(path, recursiveFileLookup=True)
-        .where(F.col("_metadata.file_block_start") == 0)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
-    )
+def headers_of(spark: SparkSession, path: str, line: int) -> dict[tuple[str, ...], list[str]]:
+    """The files under a path by the column names in their line ``line`` (from 1).
+
+    Only the first bytes of each file are read, some files at a time, by the file system
+    that Spark itself reads them with.
+    """
+    files = sorted(spark.read.text(path, recursiveFileLookup=True).inputFiles())
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in lines.mapInPandas(heads, "file string, value string").collect():
-        found.setdefault(tuple(next(csv.reader([row["value"]]), [])), []).append(row["file"])
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        for file, value in zip(files, pool.map(lambda f: _head_line(spark, f, line), files)):
+            if value is not None:
+                found.setdefault(tuple(next(csv.reader([value]), [])), []).append(file)
     return found
 
 
@@ -53,10 +70,10 @@ def header_of(spark: SparkSession, path: str, line: int) -> list[str]:
     files = sorted(spark.read.text(path, recursiveFileLookup=True).inputFiles())
     if not files:
         raise ValueError(f"no file under {path}")
-    lines = [row.value for row in spark.read.text(files[0]).head(line)]
-    if len(lines) < line:
+    value = _head_line(spark, files[0], line)
+    if value is None:
         raise ValueError(f"{files[0]} has no header in line {line}")
-    return next(csv.reader([lines[-1]]))
+    return next(csv.reader([value]))
 
 
 def scan_observations(

@@ -1,11 +1,19 @@
-"""Where a job may put intermediate files."""
+"""Where a job may put intermediate files, and tables kept there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+ROW_GROUP_BYTES = 4 << 20
+
+
+def _filesystem(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -21,6 +29,41 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="kicknet-")
     folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, files = _filesystem(spark, folder)
+    files.deleteOnExit(path)
     return folder
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows, written once to a work folder and read from there.
+
+    For a table that several branches of a plan read and that is dear to derive: Spark
+    would derive it again for each of them. It also ends the lineage.
+    """
+    spark, schema = df.sparkSession, df.schema
+    folder = work_folder(spark, name)
+    # small row groups: what a single task wrote is read by several
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+#: Tables kept by `once`, by application, name and state of the files they are made from.
+_kept: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made the first time a session asks for it and then read from a work folder.
+
+    It is made again if one of the files or folders in `sources` has changed.
+    """
+    stamps = []
+    for source in sources:
+        path, files = _filesystem(spark, source)
+        status = files.getFileStatus(path)
+        stamps.append((source, status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, name, *stamps)
+    if key not in _kept:
+        folder = work_folder(spark, name)
+        make().write.parquet(folder)
+        _kept[key] = folder
+    return spark.read.parquet(_kept[key])

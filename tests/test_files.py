@@ -1,3 +1,4 @@
+import gzip
 from datetime import date
 
 import pytest
@@ -10,8 +11,9 @@ from kicknet.functions.names import clean_names
 from kicknet.operators.selection import ColumnRoles
 from kicknet.sources.driver_tables import write_export
 from kicknet.sources.master import prune_master, scan_taxa
-from kicknet.sources.observations import ROW_ORDER, preview_columns, scan_observations
+from kicknet.sources.observations import ROW_ORDER, header_of, headers_of, preview_columns, scan_observations
 from kicknet.sources.scores import write_scores
+from kicknet.sources.workspace import once, written
 
 MASTER_CSV = """ID,BIOSNAME,CODE,TOLERANCE,FFG,ORDER,FAMILY,GENUS,GROUP,TRIBE_ETC,CLASS,PHYLUM
 1,Gen sp.,x,2.5,SC,Coleoptera,FAM,GEN,,,INSECTA,P
@@ -140,3 +142,40 @@ def test_written_exports_scan_back(spark, tmp_path):
     df = spark.range(20, numPartitions=3).selectExpr("cast(id as string) as a", "if(id % 2 = 0, 'x,y', null) as b")
     write_export(df, str(tmp_path / "e"), "preamble")
     assert bag(scan_observations(spark, str(tmp_path / "e")), "a", "b") == bag(df)
+
+
+def test_the_header_pass_reads_the_heads_of_files_only(spark, tmp_path):
+    wide = ",".join(f"column {i}" for i in range(20_000))  # a header longer than one read
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "1.csv").write_text(f"pre\n{wide}\r\n" + "x,y\n" * 10)
+    assert len(header_of(spark, str(tmp_path / "long"), 2)) == 20_000
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "1.csv").write_text("pre\na,b\n" + "1,2\n" * 2_000_000)
+    (tmp_path / "big" / "2.csv").write_text("pre\na,b")
+    (tmp_path / "big" / "3.csv").write_text("pre")
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics()
+    before = files.get("file").getLong("bytesRead")
+    found = headers_of(spark, str(tmp_path / "big"), 2)
+    assert files.get("file").getLong("bytesRead") - before < 300_000
+    assert [name[-5:] for name in found[("a", "b")]] == ["1.csv", "2.csv"] and len(found) == 1
+
+
+def test_compressed_exports_have_headers(spark, tmp_path):
+    with gzip.open(tmp_path / "1.csv.gz", "wt") as f:
+        f.write("pre\na,b\n1,2\n")
+    assert bag(scan_observations(spark, str(tmp_path)), "a", "b") == {("1", "2"): 1}
+
+
+def test_a_table_kept_for_the_session_is_made_once(spark, tmp_path):
+    source, made = tmp_path / "source", []
+
+    def make():
+        made.append(1)
+        return spark.read.text(str(source))
+
+    source.write_text("a\n")
+    for _ in range(2):
+        assert bag(once(spark, "lines", [str(source)], make)) == {("a",): 1}
+    source.write_text("a\nb\n")
+    assert once(spark, "lines", [str(source)], make).count() == 2 and len(made) == 2
+    assert bag(written(spark.range(3))) == {(0,): 1, (1,): 1, (2,): 1}
