@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kicknet.llm.graph import cut, drop
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from: crc32 of the id as text is a multiple of 5."""
@@ -21,23 +23,27 @@ def sample(
     left out.
     """
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y"))
-    rows = (
-        docs.select("doc_id", "text")
-        .where("text is not null and doc_id is not null")
+    hashed = (
+        docs.where("text is not null and doc_id is not null")
         .where(~held_out(F.col("doc_id")))
-        .join(known, "doc_id")
-        .groupBy(F.xxhash64("text").alias("h"))
+        .select("doc_id", F.xxhash64("text").alias("h"))
+    )
+    rows = (
+        hashed.join(known, "doc_id")  # narrow: no text is shuffled
+        .groupBy("h")
         .agg(F.min("y").alias("y"), F.max("y").alias("top"), F.min("doc_id").alias("doc_id"))
         .where("y = top")
     )
     picked = rows.where("y = 0").orderBy("h").limit(most).union(rows.where("y = 1").orderBy("h").limit(most))
+    chosen = cut(picked.select("doc_id", "y", "h"))
     found = (
         docs.select("doc_id", "text")
-        .join(picked.select("doc_id", "y", "h"), "doc_id")
+        .join(F.broadcast(chosen), "doc_id")  # 2 * most rows at the most
         .where(F.xxhash64("text") == F.col("h"))
         .select("h", "y", "text")
         .distinct()
         .collect()
     )
+    drop(chosen)
     found.sort(key=lambda r: (r["h"], r["text"]))
     return [r["text"].encode() for r in found], [r["y"] for r in found]
