@@ -53,6 +53,8 @@ CLASS_RATIO = 1.4
 LONG_LIST = 32
 #: Sets in a tile of those that share long lists.
 TILE = 256
+#: Parts of the size classes, whose lists are worked on one after the other.
+ROUNDS = 4
 
 
 def shingle_sets(
@@ -260,22 +262,12 @@ def similar_classes(
         .groupBy("cid", "cls", "spare")
         .agg(F.first("keys").alias("keys"))
     )
-    shared = keys.select("cid", "cls", "spare", F.explode("keys").alias("key"))
-    for _ in range(2):  # leaving out sets shortens lists
-        lists = shared.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-        met = cut(shared.select("cid", "cls", "spare", "key").join(lists, "key"))
-        enough = (
-            met.groupBy("cid", "cls", "spare")
-            .agg(F.count("*").alias("met"), F.count_if(F.col("length") >= LONG_LIST).alias("long"))
-            .where("met > spare")
-            .select("cid", "cls", (F.col("long") > F.col("spare")).alias("crowded"))
-        )
-        shared = cut(met.join(enough, ["cid", "cls"])).select(
-            "cid", "cls", "spare", "key", "length", "crowded"
-        )
-        drop(met)
+    # keys carry their class, so classes never meet: some at a time bound the disk
+    parts = [_crowding(keys.where(F.col("cls") % ROUNDS == part)) for part in range(ROUNDS)]
     drop(keys)
-    on = cut(shared.where((F.col("length") < LONG_LIST) | F.col("crowded")).select("key", "cid"))
+    on = parts[0]
+    for part in parts[1:]:
+        on = on.unionByName(part)
     first = on.groupBy("key").agg(F.min("cid").alias("a"))
     pairs = on.join(first, "key").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
     pairs = cut(pairs)
@@ -313,13 +305,43 @@ def similar_classes(
         .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     )
     long = sized.where(F.col("length") >= LONG_LIST).select("key", "cid")
-    return members, links.union(_verified(more, sets, percent)).union(
-        _tile_links(long, sets, percent)
-    )
+    tiled, tables = _tile_links(long, sets, percent)
+    every = cut(links.union(_verified(more, sets, percent)).union(tiled))
+    drop(*parts, pairs, sets, links, sized, *tables)
+    return members, every
+
+
+def _crowding(keys: DataFrame) -> DataFrame:
+    """(key, cid) of the lists on which the sets of some classes are compared.
+
+    Sets that meet others on too few lists are left out, which shortens lists, so this is
+    done twice; sets on few long lists leave these out.
+    """
+    shared, before = keys.select("cid", "cls", "spare", F.explode("keys").alias("key")), []
+    for _ in range(2):
+        lists = shared.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
+        met = cut(shared.select("cid", "cls", "spare", "key").join(lists, "key"))
+        drop(*before)
+        enough = (
+            met.groupBy("cid", "cls", "spare")
+            .agg(F.count("*").alias("met"), F.count_if(F.col("length") >= LONG_LIST).alias("long"))
+            .where("met > spare")
+            .select("cid", "cls", (F.col("long") > F.col("spare")).alias("crowded"))
+        )
+        shared = cut(
+            met.join(enough, ["cid", "cls"]).select("cid", "cls", "spare", "key", "length", "crowded")
+        )
+        before = [shared]
+        drop(met)
+    on = cut(shared.where((F.col("length") < LONG_LIST) | F.col("crowded")).select("key", "cid"))
+    drop(shared)
+    return on
 
 
-def _tile_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among sets that share a list of `entries` (key, cid), for long lists.
+def _tile_links(
+    entries: DataFrame, sets: DataFrame, percent: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Links among sets that share a list of `entries` (key, cid), for long lists; and tables in use.
 
     Sets are dealt to tiles by their first key, those with a crowded one to several, and
     tiles that share a list are compared by one matrix product. A pair of tiles returns each linked set
@@ -367,7 +389,7 @@ def _tile_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ),
             side,
         )
-    return met.mapInArrow(lambda it: _compare(it, percent), "a long, b long")
+    return met.mapInArrow(lambda it: _compare(it, percent), "a long, b long"), [placed, tiles]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
