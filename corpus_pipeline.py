@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kicknet.llm import decontam, pieces, repeats, shingle_join, toxicity
-from kicknet.llm.graph import cut
+from kicknet.llm.graph import cut, drop
 from kicknet.llm.queries import piece_model, table
 
 #: From this score on a document is toxic.
@@ -69,7 +69,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
