@@ -82,6 +82,7 @@ class Transducer:
     by_word: bool
     bytes_at: dict[int, int]
     unknown: int
+    most_words: int = MOST_WORDS
     _words: dict[str, bytes] = field(default_factory=dict)
     _older: dict[str, bytes] = field(default_factory=dict)
     _follows: dict[str, dict[str, bool]] = field(default_factory=dict)
@@ -272,7 +273,7 @@ class Transducer:
         text = self.normalise(text or "")
         if not self.by_word:
             return np.array(self.path(text), dtype=np.int32).tobytes()
-        if len(self._words) >= MOST_WORDS:  # words that go on occurring come back from the older ones
+        if len(self._words) >= self.most_words:  # words that go on occurring come back from the older ones
             self._older, self._words = self._words, {}
         words, older = self._words, self._older
         parts = _words_of(text)
@@ -358,11 +359,12 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encoder(model: bytes, decode: bool = False):
+def encoder(model: bytes, decode: bool = False, known_words: int = MOST_WORDS):
     """A function of Arrow batches (.., text) that adds `ids` and, if asked, `decoded`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _compiled(model)
+        machine.most_words = known_words
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -384,10 +386,16 @@ def encoder(model: bytes, decode: bool = False):
 
 
 def encode_texts(
-    docs: DataFrame, model: bytes, text_col: str = "text", decode: bool = False
+    docs: DataFrame,
+    model: bytes,
+    text_col: str = "text",
+    decode: bool = False,
+    known_words: int = MOST_WORDS,
 ) -> DataFrame:
     """The rows with `ids` (and `decoded`, the text read back from them) added.
 
+    A task keeps the pieces of up to twice `known_words` words, for speed.
+
     Other columns stay; columns that are called ids or decoded are replaced.
     """
     rows = docs.drop("ids", "decoded")
@@ -395,7 +403,7 @@ def encode_texts(
     if text_col != "text":
         rows = rows.drop("text").withColumnRenamed(text_col, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(encoder(model, decode), f"{schema}, {added}")
+    out = rows.mapInArrow(encoder(model, decode, known_words), f"{schema}, {added}")
     return out if text_col == "text" else out.withColumnRenamed("text", text_col)
 
 
