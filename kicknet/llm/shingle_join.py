@@ -53,7 +53,7 @@ CLASS_RATIO = 1.4
 LONG_LIST = 32
 #: Sets in a tile of those that share long lists.
 TILE = 256
-#: Parts of the size classes, whose lists are worked on one after the other.
+#: Parts of the size classes, and of the pairs to verify, that are worked on one after the other.
 ROUNDS = 4
 
 
@@ -235,6 +235,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _verified_in_rounds(pairs: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of the pairs that are similar enough; a part of the pairs at a time is shuffled with its sets."""
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(ROUNDS))
+    return [cut(_verified(pairs.where(part == k), sets, percent)) for k in range(ROUNDS)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
 def similar_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -265,9 +278,7 @@ def similar_classes(
     # keys carry their class, so classes never meet: some at a time bound the disk
     parts = [_crowding(keys.where(F.col("cls") % ROUNDS == part)) for part in range(ROUNDS)]
     drop(keys)
-    on = parts[0]
-    for part in parts[1:]:
-        on = on.unionByName(part)
+    on = _union(parts)
     first = on.groupBy("key").agg(F.min("cid").alias("a"))
     pairs = on.join(first, "key").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
     pairs = cut(pairs)
@@ -280,8 +291,8 @@ def similar_classes(
         .groupBy("cid")
         .agg(F.first("shingles").alias("shingles"))
     )
-    links = cut(_verified(pairs, sets, percent))
-    roots = components(links)
+    links = _verified_in_rounds(pairs, sets, percent)
+    roots = components(_union(links))
     labelled = on.join(roots, on["cid"] == roots["node"], "left").select(
         "key", "cid", F.coalesce("root", "cid").alias("root")
     )
@@ -305,9 +316,13 @@ def similar_classes(
         .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     )
     long = sized.where(F.col("length") >= LONG_LIST).select("key", "cid")
+    asked = cut(more)
+    drop(pairs)
+    found = _verified_in_rounds(asked, sets, percent)
+    drop(asked)
     tiled, tables = _tile_links(long, sets, percent)
-    every = cut(links.union(_verified(more, sets, percent)).union(tiled))
-    drop(*parts, pairs, sets, links, sized, *tables)
+    every = cut(_union([*links, *found, tiled]))
+    drop(*parts, sets, *links, *found, sized, *tables)
     return members, every
 
 
