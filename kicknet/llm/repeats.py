@@ -298,6 +298,8 @@ def without_repeats(
         *([F.struct(*(F.col(f"`{c}`") for c in also)).alias("also")] if also else []),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+    if not 0 <= length - gram < 2**_COUNT_BITS - 1:
+        raise ValueError(f"length has to be {gram} to {gram + 2**_COUNT_BITS - 2} for a gram of {gram}")
     places = repeated_places(texts.select("doc_id", "text"), length, gram, rounds)
     places = cut(places.withColumnRenamed("doc", "doc_id"))
     none = F.expr("cast(array() as array<long>)")

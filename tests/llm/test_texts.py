@@ -322,3 +322,9 @@ def test_main_texts(spark):
 def test_digest_is_of_the_ids(spark):
     df = spark.createDataFrame([([1, 22],)], "ids array<int>")
     assert df.select(pieces.ids_digest(F.col("ids")).alias("d")).first()["d"] == hashlib.sha256(b"1 22").hexdigest()
+
+
+def test_passages_too_long_for_a_phrase_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="length has to be"):
+        repeats.without_repeats(docs, length=84)
