@@ -20,10 +20,13 @@ string of `length` bytes (50) that also starts in a document with a smaller id.
 5. The removed spans go back to the texts by document.
 
 Everything is hash aggregation and joins on 64-bit keys: minima are combined before
-the shuffle, and hot keys (a passage that a third of all documents share) are split in
-the joins. `rounds` parts of the hash space are worked on one after the other, which
-bounds the disk that shuffles take. Strings are compared by trigger hash and string
-hash, 128 bits.
+the shuffle. The thousand keys with the most rows (a passage that a third of all
+documents share, a run of one byte) are salted in the joins, so no other key can hold
+more than a thousandth of the rows. Triggers of one document only are kept from the
+second shuffle by a bit table of the shared ones, of 16 MB at most; when it fills up,
+more rows are shuffled and the result is the same. `rounds` parts of the hash space are
+worked on one after the other, which bounds the disk that shuffles take. Strings are
+compared by trigger hash and string hash, 128 bits.
 
 Null texts are empty. Documents with a null id neither lose anything nor count as
 smaller. Rows with the same id are not smaller than each other; each is treated by
@@ -45,6 +48,10 @@ from kicknet.llm.texts import SpanHash, int64, slices
 LENGTH, GRAM, ROUNDS = 50, 20, 2
 #: A place is one number: 22 bits of the text's hash, 36 of the start, 6 of the count.
 _START_BITS, _COUNT_BITS = 36, 6
+#: Address bits of the table of shared triggers, at most, and its bits a trigger.
+MOST_BITS, BITS_A_TRIGGER = 27, 32
+#: Keys that are salted, at most, the rows from which on a key is, and its salts.
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 256
 
 
 def phrases(
@@ -88,16 +95,53 @@ def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
+def shared_bits(triggers: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """A table with a bit set for the leading bits of each trigger hash, 64 to a number."""
+    wanted = max(1, triggers.count()) * BITS_A_TRIGGER
+    bits = min(max(6, (wanted - 1).bit_length()), most)
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    words = triggers.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("set")
+    )
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    found = words.toArrow()
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
+    return out
+
+
+def _may_be_shared(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - 6 - (len(table).bit_length() - 1))
+    return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """The rows joined with a lookup table that has `n`, the number of rows, for each key.
+
+    Rows of the keys with the most rows are spread over salts by a hash of the columns
+    `spread`; the lookup table's rows for these keys, bounded in number, are repeated.
+    It is read twice.
+    """
+    hot = cut(lookup.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS))
+    every = F.explode(F.sequence(F.lit(1), F.lit(SALTS)))
+    salted = lookup.withColumn("salt", F.lit(0)).unionByName(hot.withColumn("salt", every)).drop("n")
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("hot"))), keys, "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int") + 1).otherwise(0)
+    return marked.withColumn("salt", salt).join(salted, [*keys, "salt"]).drop("salt", "hot")
+
+
 def _parse(
-    batches: Iterator[pa.RecordBatch], length: int, gram: int, part: int | None, rounds: int
+    batches: Iterator[pa.RecordBatch], length: int, gram: int, part: int | None, rounds: int, shared=None
 ) -> Iterator[pa.RecordBatch]:
-    """Without a part: (h, x, doc) of each distinct phrase; with it, also the place."""
+    """Without a part: (h, x, doc, n) of each distinct phrase; with it, each one's place.
+
+    With a part, only phrases whose trigger may be among the shared ones.
+    """
     for rows, data, offsets in slices(batches):
         ids, valid = _ids(rows)
         row, start, count, h = phrases(data, offsets, length, gram)
         keep = valid[row] if len(row) else np.zeros(0, bool)
         if part is not None:
-            keep &= h % np.uint64(rounds) == part
+            keep &= (h % np.uint64(rounds) == part) & _may_be_shared(h, shared.value)
         row, start, count, h = row[keep], start[keep], count[keep], h[keep]
         if not len(row):
             continue
@@ -110,7 +154,8 @@ def _parse(
                 new[1:] &= a[order][1:] == a[order][:-1]
             new[1:] = ~new[1:]
             take = pa.array(order[new])
-            yield pa.RecordBatch.from_arrays([c.take(take) for c in columns], ["h", "x", "doc"])
+            n = pa.array(np.diff(np.append(np.flatnonzero(new), len(order))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in columns), n], ["h", "x", "doc", "n"])
         else:
             place = (
                 _text_bits(data, offsets)[row]
@@ -205,33 +250,33 @@ def repeated_places(
 ) -> DataFrame:
     """(doc, places): where repeated strings start in documents, for (doc_id, text) rows."""
     triggers = (
-        docs.mapInArrow(lambda it: _parse(it, length, gram, None, 1), "h long, x long, doc long")
+        docs.mapInArrow(lambda it: _parse(it, length, gram, None, 1), "h long, x long, doc long, n int")
         .groupBy("h")
         .agg(
             F.min("doc").alias("low"),
             F.max("doc").alias("high"),
             (F.min("x") != F.max("x")).alias("differ"),
+            F.sum("n").alias("n"),
         )
         .where("low < high")
-        .select("h", "low", "differ")
+        .select("h", "low", "differ", "n")
     )
     triggers = cut(triggers)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_bits(triggers))
     whole, firsts = [], []
     for part in range(rounds):
-        found = cut(
-            docs.mapInArrow(
-                lambda it, part=part: _parse(it, length, gram, part, rounds),
-                "h long, x long, doc long, place long",
-            )
-            .join(triggers, "h")
-            .where("differ or doc > low")
+        parsed = docs.mapInArrow(
+            lambda it, part=part: _parse(it, length, gram, part, rounds, shared),
+            "h long, x long, doc long, place long",
         )
+        of_part = triggers.where(F.pmod("h", F.lit(rounds)) == part) if 2**64 % rounds == 0 else triggers
+        found = cut(join_hot(parsed, of_part, ["h"], ["doc", "place"]).where("differ or doc > low"))
         whole.append(found.where("not differ").select("doc", "place"))
         mixed = found.where("differ").select("h", "x", "doc", "place")
-        first = mixed.groupBy("h", "x").agg(F.min("doc").alias("first"))
-        placed = cut(mixed.join(first, ["h", "x"]))
+        first = cut(mixed.groupBy("h", "x").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
+        placed = cut(join_hot(mixed, first, ["h", "x"], ["doc", "place"]))
         whole[-1] = cut(whole[-1])
-        drop(found)
+        drop(found, first)
         whole.append(placed.where("doc > first").select("doc", "place"))
         firsts.append(placed.where("doc = first").select("h", "doc", "place"))
 
@@ -249,6 +294,7 @@ def repeated_places(
         F.col("asked.place").alias("places"),
     )
     drop(triggers)
+    shared.unpersist()
     phrase = cut(
         docs.join(asked, "doc_id").mapInArrow(
             lambda it: _suffixes(it, length), "h long, doc long, place long, strings array<long>"
@@ -258,12 +304,15 @@ def repeated_places(
         strings = phrase.where(F.pmod("h", F.lit(2 * rounds)) == part).select(
             "h", "doc", "place", F.posexplode("strings").alias("i", "s")
         )
-        earliest = strings.groupBy("h", "s").agg(
-            F.min("doc").alias("low"), F.max("doc").alias("high")
-        ).where("low < high").select("h", "s", "low")
+        earliest = cut(
+            strings.groupBy("h", "s")
+            .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
+            .where("low < high")
+            .select("h", "s", "low", "n")
+        )
         whole.append(
             cut(
-                strings.join(earliest, ["h", "s"])
+                join_hot(strings, earliest, ["h", "s"], ["doc", "place", "i"])
                 .where("doc > low")
                 .select(
                     "doc",
@@ -275,6 +324,7 @@ def repeated_places(
                 )
             )
         )
+        drop(earliest)
     drop(phrase)
     return union(whole).groupBy("doc").agg(F.collect_list("place").alias("places"))
 

@@ -62,14 +62,18 @@ def removed(docs, length):
     return sorted(out, key=str)
 
 
-def test_repeated_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("hot_rows, bits, rounds", [(repeats.HOT_ROWS, repeats.MOST_BITS, 2), (2, 8, 3)])
+def test_repeated_passages_equal_brute_force(spark, monkeypatch, hot_rows, bits, rounds):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot_rows)  # the second case salts keys and fills the table
+    monkeypatch.setattr(repeats, "SALTS", 3)
+    monkeypatch.setattr(repeats.shared_bits, "__defaults__", (bits,))
     rng = random.Random(5)
     pool = [rng.randbytes(rng.randint(20, 160)).hex() for _ in range(12)]
     docs = [(i, "".join(rng.choice(pool)[rng.randint(0, 9) :] for _ in range(rng.randint(0, 9)))) for i in range(60)]
     docs += [(70, "ab" * 100), (71, "ab" * 130), (72, "a" * 49), (73, "a" * 49), (74, None), (75, ""), (76, "é日" * 60)]
-    docs += [(77, "x" + "é日" * 50), (None, pool[0]), (3, docs[9][1]), docs[5]]
+    docs += [(77, "x" + "é日" * 50), (78, "ab" * 900), (None, pool[0]), (3, docs[9][1]), docs[5]]
     df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, place int, kept string")
-    got = repeats.without_repeats(df.repartition(3)).collect()
+    got = repeats.without_repeats(df.repartition(3), rounds=rounds).collect()
     assert sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"]) for r in got), key=str) == removed(docs, 50)
     for r in got:
         assert sum(s["length"] for s in r["spans"]) == r["n_bytes"] - len(r["kept"])
