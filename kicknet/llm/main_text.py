@@ -5,9 +5,12 @@ content (menus, forms, adverts, comments, ... by tag, role, whole class name or
 left out. A class or id alone does not take away an article or main element, what holds
 the best of these, or what holds most of the page's points (three quarters, or half and
 more than 10 points; outside that best element, three quarters and more than 10 points);
-one with such a word in a longer name counts only if most of the text stands in links. Threads of comments, often
-longer than the article, stay only if nothing else gives points.
-Each paragraph gives points, for being one, for its commas and its length, to its
+one with such a word in a longer name counts only if most of the text stands in links.
+Threads of comments, often longer than the article, stay only if nothing else gives points. They are known by class,
+id or item type (comments, user-comments, commentlist), a discussion by standing outside
+of the article, and others by their form: siblings without headings, each with an author
+and a date.
+Each paragraph gives points, for being one, for its commas and its length, to its next 30
 ancestors, fewer the farther up; an ancestor's points are discounted by the share of
 its text that stands in links. The best container is kept with those siblings that look
 like content; if it lies in an article or main element, the outermost of these is kept
@@ -16,12 +19,15 @@ references decoded, white space within a block turned into one space, blocks joi
 a line feed, nothing dropped or cut.
 
 Null and empty pages give an empty text; so do pages without text outside the parts left
-out. Where nothing scores, the whole rest of the body counts.
+out. Where nothing scores, the whole rest of the body counts. The time is linear in the
+length of a page, also where tags do not end or are nested thousands of levels deep.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,11 +37,11 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(script|style|noscript|template|textarea|iframe|svg|title|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +70,20 @@ NEVER = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Threads of comments.
 THREADS = frozenset("comment comments disqus reply replies respond".split())
+#: Other names of them, as one word.
+_THREAD = re.compile(
+    r"(?:user|reader|post|article|blog|fb)?comments?(?:list|area|box|thread|text|body|section|form|wrap|wrapper"
+    r"|container|block|feed|stream|items?|content|author|meta|metadata)?"
+)
+#: Names of threads outside of an article; within, a section may be called so.
+TALKS = frozenset("discussion discussions responses conversation conversations guestbook".split())
+#: Words that say how something stands to its comments: has-comments, comments-open.
+STATES = frozenset("has no with without and open opened closed enabled disabled allow allowed on off show hide".split())
+#: Words of a class that name an author or a date.
+AUTHORS = frozenset("author user username avatar commenter byline vcard nick nickname".split())
+DATES = frozenset("date time timestamp datetime ago posted published".split())
+#: Ancestors that a paragraph gives points to.
+REACH = 30
 #: Words of a class or id that mark parts which are not content.
 MARKS = THREADS | frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
@@ -83,17 +103,29 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
 
+#: One bit for each tag that another start tag can end.
+_BIT = {t: 1 << i for i, t in enumerate(sorted({t for tags in ENDS.values() for t in tags}))}
+_CLOSES = {t: sum(_BIT[c] for c in tags) for t, tags in ENDS.items()}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "items", "skip", "mark", "link", "points", "size", "linked", "own", "held")
+    __slots__ = (
+        "tag", "parent", "items", "skip", "mark", "link", "points", "size", "linked", "held",
+        "inside", "open", "own", "words", "chars", "commas", "signs",
+    )
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
         self.items: list[Node | str] = []
         self.link = tag == "a" or (parent is not None and parent.link)
         self.mark = ""  # "whole", "thread" or "part" by class or id
-        self.own: tuple[int, float] | None = None  # size and points of a paragraph
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        #: bits of what can be ended from here, up to the next fence
+        self.open = _BIT.get(tag, 0) | (0 if parent is None or tag in FENCES else parent.open)
+        #: size, words, characters and commas of the text directly in the node
+        self.own: tuple[int, int, int, int] | None = None
         self.points = self.held = 0.0
-        self.size = self.linked = 0
+        self.size = self.linked = self.words = self.chars = self.commas = self.signs = 0
 
 
 def _left_out(tag: str, raw: str, inside: bool) -> bool:
@@ -119,10 +151,17 @@ def _mark(tag: str, raw: str, inside: bool) -> str:
         return ""
     found = ""
     for name, a, b, c in _ATTRIBUTE.findall(raw):
+        if name.lower() in ("itemprop", "itemtype"):
+            if (a or b or c).lower().rstrip("/").rsplit("/", 1)[-1] in ("comment", "usercomments"):
+                return "thread"
         if name.lower() not in ("class", "id"):
             continue
         for value in (a or b or c).lower().split():
             words = _WORDS.findall(value)
+            if not STATES.intersection(words) and any(
+                w in ("disqus", "commenting") or _THREAD.fullmatch(w) or (w in TALKS and not inside) for w in words
+            ):
+                return "thread"
             marks = [w for w in words if w in MARKS and not (inside and w == "header")]
             if not marks:
                 continue
@@ -140,12 +179,69 @@ def _after_head(node: Node, text: str | None = None) -> Node:
     return node.parent if node.tag == "head" and (text is None or text.strip()) else node
 
 
+def _signs(tag: str, raw: str) -> int:
+    """1 for an author, 2 for a date, 4 for a heading."""
+    if tag == "time":
+        return 2
+    if tag in HEADINGS:
+        return 4
+    out = 0
+    for name, a, b, c in _ATTRIBUTE.findall(raw) if raw else ():
+        if name.lower() in ("class", "rel", "itemprop"):
+            words = _WORDS.findall((a or b or c).lower())
+            out |= bool(AUTHORS.intersection(words)) | 2 * bool(DATES.intersection(words))
+    return out
+
+
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of `>` and quotes; for each, where a tag that is read up to it ends, or -1."""
+    marks = [m.start() for m in re.finditer("[>\"']", page)]
+    ends = [-1] * (len(marks) + 1)
+    later = {}  # the next quote of each kind
+    for i in range(len(marks) - 1, -1, -1):
+        kind = page[marks[i]]
+        if kind == ">":
+            ends[i] = marks[i]
+        else:
+            ends[i] = ends[later[kind] + 1] if kind in later else -1
+            later[kind] = i
+    return marks, ends
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and raw elements. What does not end is not read more than twice."""
+    at, last, known = 0, page.rfind(">"), None
+    while (at := page.find("<", at)) >= 0:
+        special = page[at + 1 : at + 2] in ("!", "?")
+        if special:
+            ended = at < last or page.startswith(("<!--", "<![CDATA[", "<![cdata["), at)
+        else:
+            ended = at < last and (known is None or known[1][bisect_right(known[0], at)] >= 0)
+        token = _TOKEN.match(page, at) if ended else None
+        if token is not None:
+            yield token
+            at = token.end()
+            continue
+        if ended and known is None and not special and (page[at + 1 : at + 2] == "/" or page[at + 1 : at + 2].isalpha()):
+            known = _tag_ends(page)
+        at += 1
+
+
 def read_tree(page: str) -> Node:
     root = node = Node("html", None, False)
-    at = 0
-    for token in _TOKEN.finditer(page):
+    at, opened = 0, Counter()
+
+    def left(to: Node) -> Node:
+        """The node to go on with, once those below it are counted as ended."""
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return node
+
+    for token in _tokens(page):
         if token.start() > at:
-            node = _after_head(node, page[at : token.start()])
+            node = left(_after_head(node, page[at : token.start()]))
             node.items.append(page[at : token.start()])
         at = token.end()
         tag = token[3]
@@ -153,37 +249,30 @@ def read_tree(page: str) -> Node:
             continue
         tag = tag.lower()
         if token[2]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = left(up.parent)
             continue
         if tag not in IN_HEAD:
-            node = _after_head(node)
-        closes = ENDS.get(tag, ())
-        if closes:
-            up = node
-            while up.parent is not None:
-                if up.tag in closes:
-                    node = up.parent
-                elif up.tag in FENCES:
-                    break
-                up = up.parent
+            node = left(_after_head(node))
+        closes, up = _CLOSES.get(tag, 0), node
+        while up.open & closes:  # something up to the next fence ends here
+            if _BIT.get(up.tag, 0) & closes:
+                node = left(up.parent)
+            up = up.parent
         if tag in ("html", "body") and node.parent is None and tag == "html":
             continue
-        inside, up = False, node
-        while up is not None and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
-        new = Node(tag, node, node.skip or _left_out(tag, token[4], inside))
-        new.mark = _mark(tag, token[4], inside)
+        new = Node(tag, node, node.skip or _left_out(tag, token[4], node.inside))
+        new.mark = _mark(tag, token[4], node.inside)
+        new.signs = _signs(tag, token[4])
         node.items.append(new)
-        if tag not in VOID and not token[4].endswith("/"):
-            node = new
-        elif tag not in VOID and tag in BLOCKS:
+        if tag not in VOID and (tag in BLOCKS or not token[4].endswith("/")):
             node = new
+            opened[tag] += 1
     if at < len(page):
-        node = _after_head(node, page[at:])
+        node = left(_after_head(node, page[at:]))
         node.items.append(page[at:])
     return root
 
@@ -199,45 +288,57 @@ def _measure(root: Node) -> list[Node]:
         todo.extend(x for x in node.items if isinstance(x, Node))
     order.reverse()
     for node in order:
-        node.size = node.linked = 0
+        if node.own is None:
+            texts = [x for x in node.items if isinstance(x, str)]
+            words = [w for x in texts for w in unescape(x).split()]
+            node.own = (
+                sum(len(x.strip()) for x in texts), len(words), sum(map(len, words)), sum(w.count(",") for w in words)
+            )
+        node.size, node.words, node.chars, node.commas = node.own
+        node.linked = node.size * node.link
         for x in node.items:
-            if isinstance(x, Node):
+            if isinstance(x, Node) and not x.skip:
                 node.size += x.size
                 node.linked += x.linked
-            elif size := len(x.strip()):
-                node.size += size
-                node.linked += size * node.link
+                node.words += x.words
+                node.chars += x.chars
+                node.commas += x.commas
     return order
 
 
-def _text(node: Node) -> str:
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(unescape(x))
-        elif not x.skip:
-            todo.extend(reversed(x.items))
-    return " ".join(" ".join(out).split())
-
-
 def _own_points(node: Node) -> float:
     """What a paragraph gives; 0 for other elements."""
-    if node.own is not None and node.own[0] == node.size:
-        return node.own[1]
-    points = 0.0
-    if node.size and 2 * node.linked <= node.size and (
-        node.tag in PARAGRAPHS
-        or (node.tag in ("div", "section", "article") and any(isinstance(x, str) and x.strip() for x in node.items))
-    ):
-        text = _text(node)
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-    node.own = (node.size, points)
-    return points
+    if not node.size or 2 * node.linked > node.size:
+        return 0.0
+    if node.tag not in PARAGRAPHS and not (node.tag in ("div", "section", "article") and node.own[0]):
+        return 0.0
+    # the length of the words with a space between them
+    return 1 + node.commas + min((node.chars + max(node.words - 1, 0)) / 100, 3)
+
+
+def _mark_threads(order: list[Node]) -> None:
+    """Marks what holds two and more siblings with an author and a date, but no heading."""
+    for node in order:
+        alike: Counter = Counter()
+        said = 0
+        for x in node.items:
+            if isinstance(x, Node) and not x.skip:
+                if x.signs == 3 and x.size:
+                    alike[x.tag] += 1
+                    said += x.size
+                node.signs |= x.signs
+        if (
+            not node.mark
+            and node.tag in ("div", "section", "ol", "ul", "dl")
+            and max(alike.values(), default=0) > 1
+            and 5 * said >= 4 * node.size
+        ):
+            node.mark = "thread"
 
 
 def _decide(order: list[Node]) -> bool:
     """Leaves out marked parts that are not the content; whether there are any."""
+    _mark_threads(order)
     if not any(node.mark for node in order):
         return False
     threads: set[Node] = set()
@@ -283,7 +384,7 @@ def _score(order: list[Node]) -> Node | None:
             continue
         up = node.parent if node.tag in PARAGRAPHS else node
         far = 0
-        while up is not None:
+        while up is not None and far < REACH:
             up.points += points / (1, 2)[far] if far < 2 else points / (3 * far)
             up, far = up.parent, far + 1
     best, most = None, 0.0

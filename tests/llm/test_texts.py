@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -312,6 +313,38 @@ def test_wrappers_that_are_named_like_other_parts_keep_the_article():
     assert main_text.main_text(page) == "\n".join(lines)
 
 
+def test_reader_comments_are_left_out():
+    line = "words, " * 19 + "words."
+    said = "<p>I, too, have, something, to, say.</p>"
+    item = "<li><span class=comment-author>Ann</span> <time>May 1</time>" + said
+    for inside in (
+        f"<div class='user-comments'>{said}</div>", f"<ol class=commentlist>{item}{item}</ol>",
+        f"<div id=postComments>{said}</div>", f"<div itemprop=comment>{said}</div>",
+        f"<div><div><b class=user>A</b><i class=date>1</i>{said}</div><div><b class=user>B</b><i class=date>2</i>{said}</div></div>",
+    ):
+        assert main_text.main_text(f"<article><h1>T</h1><p>{line}</p>{inside}</article>") == "T\n" + line, inside
+        assert main_text.main_text(f"<div><h1>T</h1><p>{line}</p></div>{inside}") == "T\n" + line, inside
+    after = f"<section id=discussion><h2>Discussion</h2>{said * 9}</section>"
+    assert main_text.main_text(f"<article><p>{line}</p></article>{after}") == line
+    # a section of an article may be called so, and a class may only say that there are comments
+    assert main_text.main_text(f"<article><p>{line}</p><section id=discussion><p>{line}</p></section></article>") == f"{line}\n{line}"
+    for name in ("has-comments", "comments-open", "commentary", "with-comments"):
+        assert main_text.main_text(f"<body><div class={name}><p>{line}</p><p>{line}</p></div></body>") == f"{line}\n{line}"
+    bylines = "".join(f"<div><h2>{k}</h2><b class=author>A</b><time>1</time><p>{line}</p></div>" for k in "ab")
+    assert main_text.main_text(f"<div>{bylines}</div>").count(line) == 2
+
+
+@pytest.mark.parametrize(
+    "part", ["<a ", "<a '", '<a "', "<div>", "<div>a", "<b><p>", "<b>a</i>", "<!x", "<!--", "</", "<p>x<", "<script>", "<td><b>", "a"]
+)
+def test_hostile_pages_take_linear_time(part):
+    n = 200_000 // len(part)
+    for page in (part * n, "<p>Text, here.</p>" + part * n + ">\"'>", f"<a {part * n} b>"):
+        start = time.process_time()
+        main_text.main_text(page)
+        assert time.process_time() - start < 10, part  # quadratic time would be minutes
+
+
 def test_main_texts(spark):
     for page, text in PAGES:
         assert main_text.main_text(page) == text
