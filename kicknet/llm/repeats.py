@@ -24,9 +24,10 @@ the shuffle. The thousand keys with the most rows (a passage that a third of all
 documents share, a run of one byte) are salted in the joins, so no other key can hold
 more than a thousandth of the rows. Triggers of one document only are kept from the
 second shuffle by a bit table of the shared ones, of 16 MB at most; when it fills up,
-more rows are shuffled and the result is the same. `rounds` parts of the hash space are
-worked on one after the other, which bounds the disk that shuffles take. Strings are
-compared by trigger hash and string hash, 128 bits.
+more rows are shuffled, as many as in step 2, and the result is the same. The strings of
+step 4 are worked on in `2 * rounds` parts of the hash space one after the other, which
+bounds the disk that shuffles take. Strings are compared by trigger hash and string hash,
+128 bits.
 
 Null texts are empty. Documents with a null id neither lose anything nor count as
 smaller. Rows with the same id are not smaller than each other; each is treated by
@@ -129,25 +130,24 @@ def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[s
     return marked.withColumn("salt", salt).join(salted, [*keys, "salt"]).drop("salt", "hot")
 
 
-def _parse(
-    batches: Iterator[pa.RecordBatch], length: int, gram: int, part: int | None, rounds: int, shared=None
-) -> Iterator[pa.RecordBatch]:
-    """Without a part: (h, x, doc, n) of each distinct phrase; with it, each one's place.
+def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int, shared=None) -> Iterator[pa.RecordBatch]:
+    """(h, x, doc, n) of each distinct phrase of a document.
 
-    With a part, only phrases whose trigger may be among the shared ones.
+    With a table of shared triggers: (h, x, doc, place) of each phrase whose trigger may be
+    among them.
     """
     for rows, data, offsets in slices(batches):
         ids, valid = _ids(rows)
         row, start, count, h = phrases(data, offsets, length, gram)
         keep = valid[row] if len(row) else np.zeros(0, bool)
-        if part is not None:
-            keep &= (h % np.uint64(rounds) == part) & _may_be_shared(h, shared.value)
+        if shared is not None:
+            keep &= _may_be_shared(h, shared.value)
         row, start, count, h = row[keep], start[keep], count[keep], h[keep]
         if not len(row):
             continue
         x = SpanHash(data, 12)(start, start + count + length - 1)
         columns = [int64(h), int64(x), pa.array(ids[row])]
-        if part is None:
+        if shared is None:
             order = np.lexsort((x, h, row))
             new = np.ones(len(order), dtype=bool)
             for a in (x, h, row):
@@ -250,7 +250,7 @@ def repeated_places(
 ) -> DataFrame:
     """(doc, places): where repeated strings start in documents, for (doc_id, text) rows."""
     triggers = (
-        docs.mapInArrow(lambda it: _parse(it, length, gram, None, 1), "h long, x long, doc long, n int")
+        docs.mapInArrow(lambda it: _parse(it, length, gram), "h long, x long, doc long, n int")
         .groupBy("h")
         .agg(
             F.min("doc").alias("low"),
@@ -263,22 +263,17 @@ def repeated_places(
     )
     triggers = cut(triggers)
     shared = docs.sparkSession.sparkContext.broadcast(shared_bits(triggers))
-    whole, firsts = [], []
-    for part in range(rounds):
-        parsed = docs.mapInArrow(
-            lambda it, part=part: _parse(it, length, gram, part, rounds, shared),
-            "h long, x long, doc long, place long",
-        )
-        of_part = triggers.where(F.pmod("h", F.lit(rounds)) == part) if 2**64 % rounds == 0 else triggers
-        found = cut(join_hot(parsed, of_part, ["h"], ["doc", "place"]).where("differ or doc > low"))
-        whole.append(found.where("not differ").select("doc", "place"))
-        mixed = found.where("differ").select("h", "x", "doc", "place")
-        first = cut(mixed.groupBy("h", "x").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
-        placed = cut(join_hot(mixed, first, ["h", "x"], ["doc", "place"]))
-        whole[-1] = cut(whole[-1])
-        drop(found, first)
-        whole.append(placed.where("doc > first").select("doc", "place"))
-        firsts.append(placed.where("doc = first").select("h", "doc", "place"))
+    parsed = docs.mapInArrow(
+        lambda it: _parse(it, length, gram, shared), "h long, x long, doc long, place long"
+    )
+    found = cut(join_hot(parsed, triggers, ["h"], ["doc", "place"]).where("differ or doc > low"))
+    shared.unpersist()
+    drop(triggers)
+    mixed = found.where("differ").select("h", "x", "doc", "place")
+    first = cut(mixed.groupBy("h", "x").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
+    placed = cut(join_hot(mixed, first, ["h", "x"], ["doc", "place"]))
+    whole = [cut(found.where("not differ").select("doc", "place")), placed.where("doc > first").select("doc", "place")]
+    drop(found, first)
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -286,15 +281,13 @@ def repeated_places(
             out = out.union(p)
         return out
 
-    asked = union(firsts).groupBy("doc").agg(
+    asked = placed.where("doc = first").groupBy("doc").agg(
         F.collect_list(F.struct("h", "place")).alias("asked")
     ).select(
         F.col("doc").alias("doc_id"),
         F.col("asked.h").alias("triggers"),
         F.col("asked.place").alias("places"),
     )
-    drop(triggers)
-    shared.unpersist()
     phrase = cut(
         docs.join(asked, "doc_id").mapInArrow(
             lambda it: _suffixes(it, length), "h long, doc long, place long, strings array<long>"
