@@ -9,9 +9,13 @@ last separator) stitches the documents that blocks cut apart.
 
 Tokens after the last separator of a file are a document too. Empty documents (two
 separators in a row) count 0. An empty file has no documents. A file whose size is not
-a multiple of the width is refused, and so is one above `LARGEST_FILE`, since Spark
-hands a file over as one row: cut such files at any multiple of the width and scan the
-parts as one file by `same_file`.
+a multiple of the width is refused. Spark hands a file over as one row, so that only files
+up to `WHOLE_FILE` are read that way; of larger ones each task gets byte ranges, opened
+where the file lies (a local or shared folder, HDFS, S3 or Google storage as Arrow knows
+them). Files may have any size. `same_file` scans parts as one file.
+
+The prefix scan sees one narrow row a block, the documents' places are joined to it by block:
+no task holds the documents of a file.
 
 `write_token_files` makes such files: encoded documents are dealt to shards of bounded
 size and written in the order of their ids by Spark's text writer, the separator being
@@ -20,54 +24,81 @@ its line end.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kicknet.llm.graph import remove_at_exit, shared_folder, shuffles_removed
+from kicknet.llm.graph import cut, remove_at_exit, shared_folder, shuffles_removed
 
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20
-LARGEST_FILE = 1 << 30
+WHOLE_FILE = 128 << 20
+#: Bytes of large files that one task reads.
+TASK_BYTES = 64 << 20
 ROUNDS = 4
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], eod: int, width: int) -> Iterator[pa.RecordBatch]:
-    kind = np.dtype(f"<u{width}")
+_FOUND = "file string, block struct<path:string,i:long>, size long, found long, first long, last long, docs array<struct<start:long,end:long>>"
+
+
+def _blocks(rows: pa.RecordBatch, blocks: list[bytes], eod: int, width: int) -> pa.RecordBatch:
+    """Size, separators and documents of blocks; a first document starts where it is not known yet."""
+    size, found, first, last, starts, ends = [], [], [], [], [], []
+    for data in blocks:
+        tokens = np.frombuffer(data, dtype=f"<u{width}")
+        at = np.flatnonzero(tokens == eod)
+        size.append(len(tokens))
+        found.append(len(at))
+        first.append(int(at[0]) if len(at) else None)
+        last.append(int(at[-1]) if len(at) else None)
+        starts.append(np.concatenate([[-1], at[:-1] + 1]) if len(at) else at)
+        ends.append(at)
+    edges = pa.array(np.concatenate([[0], np.cumsum(found)]).astype(np.int32))
+    begin = np.concatenate(starts).astype(np.int64)
+    spans = pa.StructArray.from_arrays(
+        [pa.array(begin, mask=begin < 0), pa.array(np.concatenate(ends).astype(np.int64))], ["start", "end"]
+    )
+    numbers = [pa.array(x, pa.int64()) for x in (size, found, first, last)]
+    return pa.RecordBatch.from_arrays(
+        [rows.column(0), rows.column(1), *numbers, pa.ListArray.from_arrays(edges, spans)],
+        ["file", "block", "size", "found", "first", "last", "docs"],
+    )
+
+
+def _given_blocks(batches: Iterator[pa.RecordBatch], eod: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks whose bytes are the last column."""
     for batch in batches:
-        out = []
-        for data in batch.column(2):
-            tokens = np.frombuffer(data.as_buffer(), dtype=kind)
-            at = np.flatnonzero(tokens == eod)
-            out.append(
-                (
-                    len(tokens),
-                    len(at),
-                    int(at[0]) if len(at) else None,
-                    int(at[-1]) if len(at) else None,
-                    np.diff(at) - 1,
-                )
-            )
-        if out:
-            size, found, first, last, inner = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(size, pa.int64()),
-                    pa.array(found, pa.int64()),
-                    pa.array(first, pa.int64()),
-                    pa.array(last, pa.int64()),
-                    pa.array(inner, pa.list_(pa.int64())),
-                ],
-                ["file", "block", "size", "found", "first", "last", "inner"],
-            )
+        if batch.num_rows:
+            yield _blocks(batch, [x.as_buffer() for x in batch.column(2)], eod, width)
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file, opened for reading at any place, by the path that Spark gives it."""
+    local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
+    if local:
+        return pyarrow.fs.LocalFileSystem().open_input_file(local[1])
+    system, inner = pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    return system.open_input_file(inner)
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch], eod: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks given by their offset and size; one block's bytes are held at a time."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            offset, size = batch.column(2)[r].as_py(), batch.column(3)[r].as_py()
+            with open_file(batch.column(1)[r]["path"].as_py()) as file:
+                data = file.read_at(size, offset)
+            if len(data) != size:
+                raise OSError(f"{batch.column(1)[r]['path']}: {len(data)} of {size} bytes at {offset}")
+            yield _blocks(batch.slice(r, 1), [data], eod, width)
 
 
 def scan_token_files(
@@ -77,72 +108,67 @@ def scan_token_files(
     width: int = 2,
     block_bytes: int = BLOCK_BYTES,
     same_file: Column | None = None,
+    whole_file: int = WHOLE_FILE,
 ) -> DataFrame:
     """file, document (from 0), start (in tokens) and n_tokens of each document.
 
     `same_file` names the file that a part belongs to, an expression over `path`; parts
-    of one file are in the order of their paths.
+    of one file are in the order of their paths. Files above `whole_file` bytes are read
+    by ranges, smaller ones through Spark.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    wrong = (F.col("length") % width != 0) | (F.col("length") > LARGEST_FILE)
-    bad = files.where(wrong).select("path", "length").limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0]['path']}: {bad[0]['length']} bytes is no size of a token file")
-    step = block_bytes // width * width
-    blocks = (
-        files.where("length > 0")
-        .select(
-            (same_file if same_file is not None else F.col("path")).alias("file"),
-            F.explode(
-                F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step).cast("int"))
-            ).alias("i"),
-            "path",
-            "content",
+    large = F.col("length") > whole_file
+    seen = files.agg(
+        F.max(F.when(F.col("length") % width != 0, F.struct("path", "length"))).alias("bad"),
+        F.coalesce(F.sum(F.when(large, F.col("length"))), F.lit(0)).alias("large"),
+    ).first()
+    if seen["bad"]:
+        raise ValueError(f"{seen['bad']['path']}: {seen['bad']['length']} bytes is no size of a token file")
+    step = max(1, block_bytes // width) * width
+    named = files.where("length > 0").withColumn("file", same_file if same_file is not None else F.col("path"))
+
+    def by_block(of: DataFrame, *more: str) -> DataFrame:
+        i = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step)))
+        return of.select("file", "path", "length", *more, i.alias("i"))
+
+    block = F.struct("path", "i").alias("block")
+    given = by_block(named.where(~large), "content").select(
+        "file", block, F.expr(f"substring(content, cast(i * {step} as int) + 1, {step})").alias("data")
+    )
+    found = given.mapInArrow(lambda it: _given_blocks(it, eod, width), _FOUND)
+    if seen["large"]:
+        offset = F.col("i") * step
+        ranges = (
+            by_block(named.where(large))
+            .select("file", block, offset.alias("offset"), F.least(F.lit(step), F.col("length") - offset).alias("n"))
+            .repartition(max(1, -(-seen["large"] // TASK_BYTES)), "block")
         )
+        found = found.unionByName(ranges.mapInArrow(lambda it: _read_blocks(it, eod, width), _FOUND))
+    found = cut(found)  # read for the prefix scan and for the documents
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        found.select("file", "block", "size", "found", "last")
+        .withColumn("begin", F.coalesce(F.sum("size").over(before), F.lit(0)))
         .select(
             "file",
-            F.struct("path", "i").alias("block"),
-            F.expr(f"substring(content, i * {step} + 1, {step})").alias("data"),
+            "block",
+            "begin",
+            F.coalesce(F.sum("found").over(before), F.lit(0)).alias("documents"),
+            (F.coalesce(F.max(F.col("begin") + F.col("last")).over(before), F.lit(-1)) + 1).alias("open"),
+            F.lead("size").over(order).isNull().alias("is_last"),
         )
     )
-    found = blocks.mapInArrow(
-        lambda it: _block_rows(it, eod, width),
-        "file string, block struct<path:string,i:int>, size long, found long, first long, "
-        "last long, inner array<long>",
-    )
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    begin = F.coalesce(F.sum("size").over(before), F.lit(0))
-    placed = found.withColumn("begin", begin).withColumns(
-        {
-            "documents": F.coalesce(F.sum("found").over(before), F.lit(0)),
-            "open": F.coalesce(F.max(F.col("begin") + F.col("last")).over(before), F.lit(-1)) + 1,
-            "is_last": F.count("size").over(after) == 0,
-        }
-    )
-    whole = F.when(
-        F.col("found") > 0,
-        F.concat(F.array(F.col("begin") + F.col("first") - F.col("open")), F.col("inner")),
-    ).otherwise(F.expr("cast(array() as array<long>)"))
-    tail_from = F.when(F.col("found") > 0, F.col("begin") + F.col("last") + 1).otherwise(F.col("open"))
-    tail = F.col("begin") + F.col("size") - tail_from
-    lengths = F.when(F.col("is_last") & (tail > 0), F.concat(whole, F.array(tail))).otherwise(whole)
-    return (
-        placed.select("file", "documents", "open", F.posexplode(lengths).alias("k", "n_tokens"))
-        .select(
-            "file",
-            (F.col("documents") + F.col("k")).alias("document"),
-            "n_tokens",
-        )
-        .withColumn(
-            "start",
-            F.coalesce(
-                F.sum(F.col("n_tokens") + 1).over(
-                    Window.partitionBy("file").orderBy("document").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
+    rows = found.join(placed, ["file", "block"])
+    tail = F.struct((F.col("last") + 1).alias("start"), F.col("size").alias("end"))
+    has_tail = F.col("is_last") & (F.col("begin") + F.col("size") > F.coalesce(F.col("begin") + F.col("last") + 1, "open"))
+    docs = F.when(has_tail, F.concat("docs", F.array(tail))).otherwise(F.col("docs"))
+    start = F.coalesce(F.col("begin") + F.col("doc.start"), F.col("open"))
+    return rows.select("file", "begin", "documents", "open", F.posexplode(docs).alias("k", "doc")).select(
+        "file",
+        (F.col("documents") + F.col("k")).alias("document"),
+        (F.col("begin") + F.col("doc.end") - start).alias("n_tokens"),
+        start.alias("start"),
     )
 
 
@@ -179,6 +205,8 @@ def write_token_files(
     processor = _processor(model)
     if processor.get_piece_size() > 2**16:
         raise ValueError("the model has more pieces than 16 bits can number")
+    if processor.eos_id() < 0:
+        raise ValueError("the model has no id for the end of a text")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, vectors against all pairs, the pipeline's stages."""
 
 import os
+from itertools import product
 
 import numpy as np
 import pytest
@@ -49,6 +50,32 @@ def test_odd_texts_have_scores(spark):
     assert quality.score(df, quality.train([], [])).count() == len(texts)
 
 
+def test_marginals_equal_all_tag_sequences():
+    rng = np.random.default_rng(5)
+    texts = [b"one two three four five. six", b"", b"seven eight nine ten eleven twelve!", b"a b a"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    words = toxicity.read_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    weights = np.zeros(2**toxicity.FEATURE_BITS)
+    used = np.unique(words.features)
+    weights[used] = rng.normal(scale=0.5, size=len(used))
+    field = toxicity.Field(weights, rng.normal(size=(2, 2)), 0.7)
+    sums = np.zeros((2, 2))
+    got = field.marginals(words, sums)
+    expected, steps = np.zeros(len(words.row)), np.zeros((2, 2))
+    for k in np.unique(words.sequence):
+        at = np.flatnonzero(words.sequence == k)
+        emit = weights[words.features[at]].sum(axis=1)
+        tags = np.array(list(product((0, 1), repeat=len(at))))
+        value = tags @ emit + tags[:, 0] * field.first
+        value += field.steps[tags[:, :-1], tags[:, 1:]].sum(axis=1)
+        p = np.exp(value) / np.exp(value).sum()
+        expected[at] = p @ tags
+        for a, b in product((0, 1), repeat=2):
+            steps[a, b] += p @ ((tags[:, :-1] == a) & (tags[:, 1:] == b)).sum(axis=1)
+    assert len(np.unique(words.sequence)) == 4
+    assert np.allclose(got, expected) and np.allclose(sums, steps)
+
+
 def test_samples_leave_held_out_rows_and_doubtful_texts(spark):
     docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2 if i != 31 else 0) for i in range(60)], "doc_id long, toxic int")

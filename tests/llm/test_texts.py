@@ -242,17 +242,37 @@ def test_counts_of_token_files(spark, tmp_path):
             else:
                 now += 1
         expected[name] = counts + ([now] if now else [])
-    for block in (4, 6, 1 << 20):
-        rows = token_counts.scan_token_files(spark, str(tmp_path), 2, block_bytes=block).collect()
+    for block, whole in [(b, w) for b in (4, 6, 1 << 20) for w in (0, 8, 1 << 20)]:  # by ranges, some so, none
+        rows = token_counts.scan_token_files(spark, str(tmp_path), 2, block_bytes=block, whole_file=whole).collect()
         got = {}
         for r in sorted(rows, key=lambda r: r["document"]):
             got.setdefault(r["file"][-1], []).append(r["n_tokens"])
+            tokens = files[r["file"][-1]]
+            end = r["start"] + r["n_tokens"]
+            assert 2 not in tokens[r["start"] : end] and (end == len(tokens) or tokens[end] == 2)
         assert got == {k: v for k, v in expected.items() if v}
     (tmp_path / "odd").write_bytes(b"123")
     with pytest.raises(ValueError):
         token_counts.scan_token_files(spark, str(tmp_path), 2)
 
 
+def test_a_file_above_two_gigabytes_is_counted_by_many_tasks(spark, tmp_path):
+    """Sparse: nothing but zeros, separators where a block ends, begins and beyond 2^31 bytes."""
+    import numpy as np
+
+    size, at = 2_200_000_000, [0, (1 << 19) - 1, 1 << 19, 1_099_999_000]  # bytes; places in tokens
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate(size)
+        for place in at:
+            f.seek(2 * place)
+            f.write(np.array([2], "<u2").tobytes())
+    rows = token_counts.scan_token_files(spark, str(tmp_path), 2, block_bytes=1 << 20).orderBy("document").collect()
+    edges = [-1, *at, size // 2]
+    assert [(r["document"], r["start"], r["n_tokens"]) for r in rows] == [
+        (k, a + 1, b - a - 1) for k, (a, b) in enumerate(zip(edges, edges[1:]))
+    ]
+
+
 def test_counts_of_documents(spark):
     texts = [t for t in TEXTS if t != LONG] + ["one two"] * 3
     docs = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
