@@ -97,7 +97,8 @@ def cut_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     at = starts[:, None] + np.arange(CHUNK)
     inside = at < ends[:, None]
     padded = data if len(data) else np.zeros(1, np.uint8)
-    return np.where(inside, padded[np.minimum(at, len(padded) - 1)], 256).astype(np.int16)
+    # 256 is no byte: the type has to be wide before it is put in
+    return np.where(inside, padded[np.minimum(at, len(padded) - 1)].astype(np.int16), np.int16(256))
 
 
 def _step(net: Network, chunks: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray):

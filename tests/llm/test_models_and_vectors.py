@@ -76,6 +76,60 @@ def test_marginals_equal_all_tag_sequences():
     assert np.allclose(got, expected) and np.allclose(sums, steps)
 
 
+def exact_network(rng):
+    net = quality.new_network(rng)
+    for name, value in vars(net).items():
+        setattr(net, name, value.astype(float) + rng.normal(scale=0.1, size=value.shape))
+    return net
+
+
+def naive_value(net, chunk):
+    best = np.full(quality.FILTERS, -np.inf)
+    for place in range(len(chunk) - quality.WIDTH + 1):
+        window = np.concatenate([net.embedding[b] for b in chunk[place : place + quality.WIDTH]])
+        best = np.maximum(best, [window @ net.filters[:, f] for f in range(quality.FILTERS)])
+    features = np.append(np.tanh(best + net.bias), np.mean([b < 256 for b in chunk]))
+    return np.tanh(features @ net.hidden + net.hidden_bias) @ net.out + net.out_bias[0]
+
+
+def test_scores_equal_a_naive_convolution():
+    rng = np.random.default_rng(8)
+    net = exact_network(rng)
+    texts = [b"", b"abc", bytes(rng.integers(97, 123, 2 * quality.CHUNK + 7).astype(np.uint8))]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = quality.score_texts(net, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for text, score in zip(texts, got):
+        covered, values = set(), []
+        for at in range(0, max(1, len(text) - (quality.CHUNK - quality.STRIDE)), quality.STRIDE):
+            chunk = list(text[at : at + quality.CHUNK])
+            covered |= set(range(at, at + len(chunk)))
+            values.append(naive_value(net, chunk + [256] * (quality.CHUNK - len(chunk))))
+        assert len(covered) == len(text)
+        assert np.isclose(score, 1 / (1 + np.exp(-np.mean(values))), atol=1e-6)
+
+
+def test_gradients_equal_differences_of_the_loss():
+    rng = np.random.default_rng(9)
+    net = exact_network(rng)
+    chunks = rng.integers(97, 103, (5, 40)).astype(np.int16)
+    chunks[4, 25:] = 256
+    of, y, weight = np.array([0, 0, 1, 2, 2]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        z = np.bincount(of, net.values(chunks)) / np.bincount(of)
+        return ((np.logaddexp(0, z) - y * z) * weight).mean()
+
+    for value, grad in zip(net.parts(), quality._step(net, chunks, of, y, weight)):
+        flat, slopes = value.reshape(-1), np.asarray(grad).reshape(-1)
+        for k in {*rng.integers(len(flat), size=8), *np.argsort(-abs(slopes))[:8]}:
+            middle, ends = flat[k], []
+            for step in (1e-5, -1e-5):
+                flat[k] = middle + step
+                ends.append(loss())
+            flat[k] = middle
+            assert np.isclose((ends[0] - ends[1]) / 2e-5, slopes[k], rtol=1e-3, atol=1e-6)
+
+
 def test_samples_leave_held_out_rows_and_doubtful_texts(spark):
     docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2 if i != 31 else 0) for i in range(60)], "doc_id long, toxic int")
