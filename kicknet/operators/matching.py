@@ -24,6 +24,21 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_evenly(df: DataFrame, columns: Sequence[str], size: int, per_task: int) -> DataFrame:
+    """Rows dealt by the columns to so many tasks that each gets about ``per_task`` of ``size``.
+
+    For what sorts many times, or multiplies, the rows of a shuffle: adaptive execution
+    merges partitions by their compressed bytes, of which a task may hold a hundred times
+    as many. With a stated number it leaves them as they are; what one task can do is
+    left to it.
+    """
+    keys = [F.col(f"`{c}`") for c in columns]
+    if size <= per_task:
+        return df.repartition(*keys)
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-size // per_task)), *keys)
+
+
 def broadcast_if_small(
     df: DataFrame,
     source: DataFrame | None = None,

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kicknet.operators.matching import null_safe_join, repeat_rows
+from kicknet.operators.matching import null_safe_join, repeat_rows, spread_evenly
+from kicknet.sources.workspace import written
 
 # Fixed value: individuals a sample is reduced to
 TARGET = 360
+# times that a task of the draw writes out and sorts
+TIMES_PER_TASK = 500_000
 # 52 bits of a hash make a uniform number
 _HASH_DIGITS = 13
 _HASH_RANGE = float(16**_HASH_DIGITS)
@@ -73,8 +76,9 @@ def rarefy(
     kind therefore needs no more than its first ``target`` times: exact for any
     n, and a sample of billions costs no more than its kinds. And only the
     ``target`` kinds whose first times are the earliest can be drawn from, so no more
-    than ``target`` squared times of a sample are written out, after the one shuffle
-    by sample.
+    than ``target`` squared times of a sample are written out, after the shuffles by
+    sample. The kinds of large samples go to a work folder first, as the number of
+    tasks of the draw follows from the number of their times.
     """
     key = list(sample_key)
     kind = [c for c in df.columns if c != count_col]
@@ -91,6 +95,8 @@ def rarefy(
     kinds = null_safe_join(whole_counts, large, key, "left_semi").withColumn(
         "_kind", kind_hash(kind)
     )
+    kinds = written(kinds, "kinds")
+    n_times = kinds.agg(F.sum(F.least(F.col("_n"), F.lit(target).cast("long")))).first()[0] or 0
     numbers = F.sequence(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(target).cast("long")))
     gap = _waiting_time(seed) / (F.col("_n") - F.col("_number") + 1)
     # the limit on row_number is applied within every task before kinds are brought together
@@ -102,6 +108,7 @@ def rarefy(
         .where(F.col("_rank") <= target)
         .drop("_rank", "_first", "_number")
     )
+    front = spread_evenly(front, key, n_times, TIMES_PER_TASK)
     in_kind = Window.partitionBy(*key, "_kind").orderBy("_number")
     times = (
         front.withColumn("_number", F.explode(numbers))

@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 
 from helpers import bag, physical_plan
+from kicknet.operators import subsampling
 from kicknet.operators.subsampling import expand_individuals, rarefy
 
 DDL = "site string, id double, label string, count double"
@@ -82,3 +83,14 @@ def test_limit_is_applied_before_the_shuffle(spark):
 def test_individuals(spark):
     df = spark.createDataFrame([("s", 1.0, "x", 2.7), ("s", 2.0, "x", 0.0)], DDL)
     assert bag(expand_individuals(df, "count"), "id", "individual") == {(1.0, 1): 1, (1.0, 2): 1}
+
+
+def test_tasks_of_the_draw_follow_from_the_number_of_times(spark, monkeypatch):
+    rows = [(f"s{s}", float(i), "x", 30.0) for s in range(20) for i in range(20)]
+    df = spark.createDataFrame(rows, DDL)
+    usual = rarefy(df, ["site"], "id", seed=1)
+    monkeypatch.setattr(subsampling, "TIMES_PER_TASK", 1000)
+    spread = rarefy(df, ["site"], "id", seed=1)
+    # 20 samples of 20 kinds with 30 times each
+    assert "hashpartitioning(site" in physical_plan(spread) and ", 12), REPARTITION_BY_NUM" in physical_plan(spread)
+    assert bag(spread) == bag(usual)
