@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, divide, spreading_sum, whole
-from kicknet.operators.matching import lead_hash, null_safe_join
+from kicknet.operators.matching import lead_hash, null_safe_join, spread_evenly
 from kicknet.sources.workspace import written
 
 RPKC, DPAC, APTC = "RPKC-S", "DPAC-S", "APTC-S"
 METHODS = (RPKC, DPAC, APTC)
+# lines that a task sorts once for every rank
+LINES_PER_TASK = 100_000
 
 
 def _level(ranks: Sequence[str]) -> Column:
@@ -49,10 +51,13 @@ def _walk(lines: DataFrame, group: list[str], ranks: list[str], look=None, recei
 
     ``look(rank, parent, window)`` names what has to be known of the lines that
     share a rank value, ``receive`` are the columns that change when kept lines
-    take over the count of the parents among them. The lines are spread by
-    group once; every level is one window that fits that.
+    take over the count of the parents among them. The lines go to a work folder,
+    which tells their number, and are spread by group once; every level is one
+    window that fits that.
     """
-    lines = lines.repartition(*group).withColumn("_keep", F.col("_level") == 1)
+    lines = written(lines, "lines")
+    lines = spread_evenly(lines, group, lines.count(), LINES_PER_TASK)
+    lines = lines.withColumn("_keep", F.col("_level") == 1)
     for number, rank in enumerate(ranks[1:], 2):
         window = _over(group, rank)
         parent = F.col("_level") == number

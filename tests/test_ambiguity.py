@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from helpers import bag, physical_plan
+from kicknet.operators import ambiguity
 from kicknet.operators.ambiguity import APTC, DPAC, METHODS, RPKC, resolve_ambiguous
 
 DDL = "site string, genus string, tribe string, family string, order_ string, count double, seq int"
@@ -148,3 +149,15 @@ def test_column_order_and_plan(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     # one exchange of the aggregated lines serves all levels
     assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("Window [") >= len(RANKS) - 1
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_tasks_follow_from_the_number_of_lines(spark, monkeypatch, method):
+    rows = [(f"s{s}", f"g{i}" if i % 3 else None, "t", "f", "o", 1.0 + i, i) for s in range(20) for i in range(6)]
+    df = spark.createDataFrame(rows, DDL)
+    usual = resolve_ambiguous(df, "site", RANKS, "count", method, False, ["seq"])
+    monkeypatch.setattr(ambiguity, "LINES_PER_TASK", 10)
+    spread = resolve_ambiguous(df, "site", RANKS, "count", method, False, ["seq"])
+    # 20 groups of four genera and a tribe
+    assert ", 10), REPARTITION_BY_NUM" in physical_plan(spread)
+    assert bag(spread) == bag(usual)
