@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kicknet.functions.missing import divide, whole, zero_if_missing
 from kicknet.operators.matching import null_safe_join
 from kicknet.operators.taxa import FEEDING, ID, ORDER, SEMI_AQUATIC, TOLERANCE
+from kicknet.sources.workspace import written
 
 
 def _everything() -> Column:
@@ -141,9 +142,12 @@ def _by_taxon(rows: DataFrame, sample_key, count_col: str, metrics) -> DataFrame
 
 def single_metric(rows: DataFrame, sample_key: Sequence[str], count_col: str, metric) -> DataFrame:
     """One metric for the samples that have a row it looks at."""
+    return _of_samples(_by_taxon(rows, sample_key, count_col, [metric]), sample_key, metric)
+
+
+def _of_samples(by_taxon: DataFrame, sample_key: Sequence[str], metric) -> DataFrame:
     return (
-        _by_taxon(rows, sample_key, count_col, [metric])
-        .groupBy(*sample_key)
+        by_taxon.groupBy(*sample_key)
         .agg(metric.by_sample().alias(metric.name), metric.present().alias("_present"))
         .where("_present")
         .drop("_present")
@@ -181,14 +185,14 @@ def assemble_metrics_full_join(
 ) -> DataFrame:
     """The same table put together from one table per metric by full outer joins.
 
-    ``assemble_metrics`` gives the same rows in one pass and is what the scores use.
+    ``assemble_metrics`` gives the same rows in one pass and is what the scores use. The
+    sums by taxon go to a work folder: every metric's table is made from them.
     """
     key = list(sample_key)
+    by_taxon = written(_by_taxon(rows, key, count_col, metrics), "by_taxon")
     result = None
     for m in metrics:
-        table = single_metric(rows, key, count_col, m).select(
-            whole(key).alias("_key"), m.name
-        )
+        table = _of_samples(by_taxon, key, m).select(whole(key).alias("_key"), m.name)
         if result is None:
             result = table
         else:

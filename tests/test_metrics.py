@@ -108,3 +108,17 @@ def test_column_order(spark):
         "TotalTaxa_Score", "IntolerantTaxa_Score", "MBI_score", "PercentScraper_Score", "mIBI",
         "Comparison_to_Reference", "Narrative_Description",
     ]
+
+
+def test_the_full_join_derives_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = sample("A", ("x", 3.0, dict(id=1.0, tolerance=2.0, ffg="SC")), ("y", 1.0, dict(id=2.0)))
+    df = spark.createDataFrame(rows, ROWS_DDL)
+    got = M.assemble_metrics_full_join(df.mapInPandas(passed, df.schema), KEY, "result_val")
+    assert bag(got) == bag(M.assemble_metrics(df, KEY, "result_val")) and seen.value == 2
