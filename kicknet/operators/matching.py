@@ -49,15 +49,15 @@ def broadcast_if_small(
 
     ``source`` is a table the other one is made from by a costlier step: if that
     alone has too many rows, the step is not run for its size. A larger table
-    comes back unmarked: the join is then a shuffled one, whose hot keys
-    adaptive execution splits.
+    comes back marked for a sort-merge join, whose hot keys adaptive execution
+    splits: unmarked, Spark would broadcast it if its files are small.
     """
     if source is not None and source.count() > max_rows:
-        return df
+        return df.hint("merge")
     columns = ", ".join(f"cast(`{c}` as string)" for c in df.columns)
     size = f"coalesce(sum(octet_length(concat_ws('', {columns}))), 0)"
     rows, size = df.selectExpr("count(*)", size).first()
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df.hint("merge")
 
 
 def lead_hash(df: DataFrame, columns: Sequence[str]) -> Column:

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kicknet.functions.missing import any_true, whole
-from kicknet.operators.matching import anti_join_all, keep_first, lead_hash, null_safe_join
+from kicknet.operators.matching import (
+    anti_join_all, keep_first, lead_hash, null_safe_join, shuffle_partitions,
+)
 from kicknet.operators.taxa import CLASS, FAMILY, GENUS, GROUP, NAME, ORDER, PHYLUM, TRIBE
 
 # rank that must be missing -> rank whose value is counted once
@@ -77,7 +79,9 @@ def _first_row_marks(
         )
     )
     body = [c for c in content if c not in sample_key]
-    entered = rows.select(
+    # a minimum over structs sorts the rows of a task, which otherwise are those of a whole split
+    dealt = rows.repartition(shuffle_partitions(rows), F.xxhash64(F.monotonically_increasing_id()))
+    entered = dealt.select(
         *sample_key, F.explode(entries).alias("_entry"), whole(order_cols + body).alias("_row")
     ).select(*sample_key, F.col("_entry.rule").alias("_rule"), F.col("_entry.value").alias("_value"), "_row")
     keys = [*sample_key, "_rule", "_value"]

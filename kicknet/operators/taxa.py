@@ -96,17 +96,18 @@ def crosswalk(
     overrides: Sequence[Override],
     chain: Sequence[str],
     taxa_order: Sequence[str] = (),
+    identified_only: bool = True,
 ) -> DataFrame:
-    """Identified record id to the attributes of its index taxon.
+    """Record id, of identified records or all, to the attributes of its index taxon.
 
     The standard name depends on the master record alone, so the look-up of the
     standard taxon is a join of the master with itself and the observations
     need one join instead of two. The index taxon need not be an identified one.
     """
     return (
-        _records(taxa.where(identified()), overrides, chain, taxa_order)
+        _records(taxa.where(identified()) if identified_only else taxa, overrides, chain, taxa_order)
         .join(
-            _standards(taxa, taxa_order),
+            broadcast_if_small(_standards(taxa, taxa_order), source=taxa),
             F.col("_standard_name").eqNullSafe(F.col("_name")),
             "left",
         )
@@ -138,13 +139,21 @@ def standardize_taxa(
     ]
     by_record = F.col("_obs_id").eqNullSafe(F.col("_record_id"))
     obs = obs.withColumnRenamed(ID, "_obs_id")
+    known = broadcast_if_small(
+        crosswalk(taxa, overrides, chain, taxa_order, identified_only), source=taxa
+    )
     if identified_only:
-        known = broadcast_if_small(crosswalk(taxa, overrides, chain, taxa_order), source=taxa)
         return obs.join(known, by_record, "inner").select(*columns)
-    records = broadcast_if_small(_records(taxa, overrides, chain, taxa_order))
-    standards = broadcast_if_small(_standards(taxa, taxa_order))
-    return (
-        obs.join(records, by_record, "left")
-        .join(standards, F.col("_standard_name").eqNullSafe(F.col("_name")), "left")
-        .select(*columns)
+    # records without a master row have no name and match master rows that have none either
+    attributes = [c for c in known.columns if c not in ("_record_id", "_standard_name")]
+    attributes = [c for c in attributes if c not in {f"_record_{o}" for o in taxa_order}]
+    nameless = _standards(taxa.where(F.col(NAME).isNull()), taxa_order).select(
+        "_name", *[F.col(c).alias(f"_nameless_{c}") for c in attributes]
+    )
+    # null only where there was no match; the others are spread
+    listed = F.when(F.col("_listed"), F.coalesce(F.col("_record_id").cast("string"), F.lit("")))
+    joined = obs.join(known.withColumn("_listed", F.lit(True)), by_record, "left").join(
+        broadcast_if_small(nameless), listed.eqNullSafe(F.col("_name")), "left"
     )
+    filled = {c: F.coalesce(F.col(c), F.col(f"_nameless_{c}")) for c in attributes}
+    return joined.withColumns(filled).select(*columns)

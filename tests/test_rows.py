@@ -164,3 +164,17 @@ def test_one_sample_with_most_rows(spark):
     )
     kept = R.drop_redundant(rows, KEY, ["seq"])
     assert bag(kept.groupBy("result_val").count()) == bag(rows.where("result_val = 0").groupBy("result_val").count())
+
+
+def test_a_table_beyond_the_bounds_is_not_broadcast(spark):
+    left = spark.createDataFrame([(1, "a")], "k int, v string")
+    large = matching.broadcast_if_small(spark.createDataFrame([(1, "b")], "k int, w string"), max_rows=0)
+    joined = left.join(large, "k", "left")
+    assert "SortMergeJoin" in physical_plan(joined) and bag(joined) == {(1, "a", "b"): 1}
+
+
+def test_first_rows_are_sorted_in_as_many_tasks_as_a_shuffle_has(spark):
+    fam = dict(family="F", order_="O", class_="C", phylum="P", id=1.0)
+    rows = spark.createDataFrame([taxon_row(i, "F", float(i), **fam) for i in range(20)], ROWS_DDL).coalesce(1)
+    got = R.drop_redundant(rows, KEY, ["seq"])
+    assert "REPARTITION_BY_NUM" in physical_plan(got) and bag(got, "result_val") == {(0.0,): 1}
