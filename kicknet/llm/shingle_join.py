@@ -18,9 +18,12 @@ at most D = (n + m) * (100 - p) / (100 + p) shingles that only one set has.
 Equal sets are one class first. On a list, members are compared with the smallest
 member, and joined components are formed; then those still in another component than
 the smallest member are compared with the others. Each comparison intersects the
-whole sets. So a group of k near copies costs a multiple of k, not k^2, and every
-link either is found or lies within a component. All joins are on hashed keys, and
-split when hot by adaptive execution.
+whole sets, but a pair is first held against the sets' sketches: shingles counted in 256
+buckets. Counts that differ by more than D in sum leave more than D shingles in one set
+only, so no link is lost, and the sets of nearly all pairs that are no link stay where
+they are. So a group of k near copies costs a multiple of k, not k^2, and every link
+either is found or lies within a component. All joins are on hashed keys, and split when
+hot by adaptive execution.
 
 Text is lower-cased (A-Z only); words are `[^\\x20\\x09-\\x0D]+`. A text with fewer words
 than the width has one shingle, the words it has. Null, empty and blank texts have the
@@ -55,6 +58,8 @@ LONG_LIST = 32
 TILE = 256
 #: Parts of the size classes, and of the pairs to verify, that are worked on one after the other.
 ROUNDS = 4
+#: Buckets of a sketch, of a byte each.
+SKETCH = 256
 
 
 def shingle_sets(
@@ -154,11 +159,22 @@ def _heavy_keys(hashes: np.ndarray, cls: int, blocks: int) -> np.ndarray:
     return mix(sums ^ salt)
 
 
+def sketch(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The number of shingles in each bucket, 255 at most, a line for each set."""
+    sets = len(ends) - 1
+    of = np.repeat(np.arange(sets), np.diff(ends))
+    bucket = (mix(hashes ^ values(5, 1)[0]) % np.uint64(SKETCH)).astype(np.int64)
+    counts = np.bincount(of * SKETCH + bucket, minlength=sets * SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(sets, SKETCH)
+
+
 SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
 KEY_SCHEMA = pa.schema(
     [("cid", pa.int64()), ("cls", pa.int32()), ("spare", pa.int32()), ("keys", pa.list_(pa.int64()))]
 )
-SHINGLE_SCHEMA = pa.schema([("cid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+SHINGLE_SCHEMA = pa.schema(
+    [("cid", pa.int64()), ("shingles", pa.list_(pa.int64())), ("sketch", pa.binary())]
+)
 
 
 def _set_id(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -209,13 +225,16 @@ def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     for _, data, offsets in slices(batches):
         hashes, ends = shingle_sets(data, offsets, width)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), int64(hashes))
+        sketches = pa.array([counts.tobytes() for counts in sketch(hashes, ends)], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [int64(_set_id(hashes, ends)), lists], schema=SHINGLE_SCHEMA
+            [int64(_set_id(hashes, ends)), lists, sketches], schema=SHINGLE_SCHEMA
         )
 
 
 def _schema(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.list_(pa.int64()): "array<long>"}
+    names = {
+        pa.int64(): "long", pa.int32(): "int", pa.list_(pa.int64()): "array<long>", pa.binary(): "binary"
+    }
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -235,10 +254,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches allow a link."""
+    for batch in batches:
+        a, b, n, m, x, y = batch.columns
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (x, y))
+        apart = np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64)
+        both = n.to_numpy().astype(np.int64) + m.to_numpy()
+        near = pa.array(np.flatnonzero(apart * (100 + percent) <= both * (100 - percent)))
+        yield pa.RecordBatch.from_arrays([a.take(near), b.take(near)], ["a", "b"])
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar enough as far as sizes and sketches tell."""
+    for side in "ab":
+        pairs = pairs.join(
+            sets.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")),
+            side,
+        )
+    alike = pairs.where(
+        (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    )
+    return alike.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(
+        lambda it: _near(it, percent), "a long, b long"
+    )
+
+
 def _verified_in_rounds(pairs: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
-    """Tables of the pairs that are similar enough; a part of the pairs at a time is shuffled with its sets."""
+    """Tables of the pairs that are similar enough.
+
+    Sets are shuffled for those that the sketches leave, a part of the pairs at a time.
+    """
+    near = cut(_sketched(pairs, sets, percent))
     part = F.pmod(F.xxhash64("a", "b"), F.lit(ROUNDS))
-    return [cut(_verified(pairs.where(part == k), sets, percent)) for k in range(ROUNDS)]
+    found = [cut(_verified(near.where(part == k), sets, percent)) for k in range(ROUNDS)]
+    drop(near)
+    return found
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -289,7 +340,8 @@ def similar_classes(
         .mapInArrow(lambda it: _shingles(it, width), _schema(SHINGLE_SCHEMA))
         .join(used, "cid", "left_semi")
         .groupBy("cid")
-        .agg(F.first("shingles").alias("shingles"))
+        .agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+        .withColumn("n", F.size("shingles"))
     )
     links = _verified_in_rounds(pairs, sets, percent)
     roots = components(_union(links))

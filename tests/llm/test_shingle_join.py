@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from kicknet.llm import shingle_join as J
@@ -88,3 +89,25 @@ def test_empty_table_and_clashing_columns(spark):
     assert J.jaccard_components(empty).collect() == []
     df = spark.createDataFrame([(1, "a b c", "k", 5), (2, "a b c", None, None)], empty.schema)
     assert rows(J.jaccard_components(df, width=3)) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_sketches_lose_no_link_and_keep_other_pairs_from_the_sets(spark, words):
+    docs = corpus(words)
+    texts = pa.array([text for _, text in docs])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    ids = dict.fromkeys(r["cid"] for b in J._shingles(iter([batch]), 3) for r in b.to_pylist() if r["shingles"])
+    table = pa.Table.from_batches(J._shingles(iter([batch]), 3)).to_pylist()
+    known = {r["cid"]: r for r in table if r["cid"] in ids}
+    sets = spark.createDataFrame(
+        [(c, len(r["shingles"]), r["shingles"], r["sketch"]) for c, r in known.items()],
+        "cid long, n int, shingles array<long>, sketch binary",
+    )
+    every = sorted(known)
+    pairs = spark.createDataFrame([(a, b) for a in every for b in every if a < b], "a long, b long")
+    linked = {
+        (a, b) for a, b in pairs.collect()
+        if 100 * len(x := {*known[a]["shingles"]} & {*(y := known[b]["shingles"])}) >= 90 * (len(known[a]["shingles"]) + len(y) - len(x))
+    }
+    near = {tuple(r) for r in J._sketched(pairs, sets, 90).collect()}
+    assert linked and linked <= near and len(near) < 2 * len(linked) + 100 < pairs.count() / 5
+    assert {tuple(r) for t in J._verified_in_rounds(pairs, sets, 90) for r in t.collect()} == linked
