@@ -14,9 +14,12 @@ string of `length` bytes (50) that also starts in a document with a smaller id.
 3. Phrases with a shared trigger are looked up. A phrase that an earlier document has
    in full goes in full, at the cost of one row, however often it is repeated.
 4. The first occurrence of a phrase can share single strings with other phrases of its
-   trigger. Only for these distinct phrases the suffixes, cut to 50 bytes, are brought
-   together by their hash: equal suffixes are neighbours in the suffix array of the
-   dictionary, and only equality to this depth is asked for, so no sort is needed.
+   trigger. Only these distinct phrases are brought together by trigger, with the hashes
+   of their suffixes, cut to 50 bytes: equal suffixes are neighbours in the suffix array
+   of the dictionary, and only equality to this depth is asked for. Within a task, the
+   strings of a block of triggers are sorted by hash; runs of them come back as one row.
+   Phrases of the thousand triggers with the most phrases are not brought together: their
+   strings are spread by their hash, a row each, and find the earliest document in a join.
 5. The removed spans go back to the texts by document.
 
 Everything is hash aggregation and joins on 64-bit keys: minima are combined before
@@ -24,10 +27,10 @@ the shuffle. The thousand keys with the most rows (a passage that a third of all
 documents share, a run of one byte) are salted in the joins, so no other key can hold
 more than a thousandth of the rows. Triggers of one document only are kept from the
 second shuffle by a bit table of the shared ones, of 16 MB at most; when it fills up,
-more rows are shuffled, as many as in step 2, and the result is the same. The strings of
-step 4 are worked on in `2 * rounds` parts of the hash space one after the other, which
-bounds the disk that shuffles take. Strings are compared by trigger hash and string hash,
-128 bits.
+more rows are shuffled, as many as in step 2, and the result is the same. The phrases of
+step 4 are worked on in `rounds` parts of the hash space one after the other (strings
+with a row each in `2 * rounds`), which bounds the disk that shuffles take. Strings are
+compared by trigger hash and string hash, 128 bits.
 
 Null texts are empty. Documents with a null id neither lose anything nor count as
 smaller. Rows with the same id are not smaller than each other; each is treated by
@@ -53,6 +56,8 @@ _START_BITS, _COUNT_BITS = 36, 6
 MOST_BITS, BITS_A_TRIGGER = 27, 32
 #: Keys that are salted, at most, the rows from which on a key is, and its salts.
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 256
+#: Phrases whose strings are compared at once in a task, but for a trigger that has more.
+BLOCK_ROWS = 20_000
 
 
 def phrases(
@@ -63,26 +68,24 @@ def phrases(
     n = len(data) - length + 1
     if n <= 0:
         return none
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    starts = np.flatnonzero(np.arange(n) + length <= offsets[row + 1])
-    if not len(starts):
-        return none
-    places = np.arange(len(data) - gram + 1)
-    value = SpanHash(data, 11)(places, places + gram)
-    least, at = value, np.arange(len(value), dtype=np.int32)
-    width, span = 1, length - gram + 1
+    # a string starts at each byte of a text but its last ones
+    sizes = np.diff(offsets)
+    holds = np.maximum(sizes - length + 1, 0)
+    valid = np.repeat(np.tile([True, False], len(sizes)), np.stack([holds, sizes - holds], 1).ravel())[:n]
+    value = SpanHash(data, 11).every(gram)
+    least, width, span = value, 1, length - gram + 1
     while width < span:
         step = min(width, span - width)
-        right = least[step:] < least[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        least = np.where(right, least[step:], least[:-step])
+        least = np.minimum(least[:-step], least[step:])
         width += step
-    trigger = at[starts].astype(np.int64)
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (starts[1:] != starts[:-1] + 1)
+    # the first of the smallest hashes stays until its place is left or a smaller one comes
+    new = np.ones(n, dtype=bool)
+    new[1:] = (value[: n - 1] == least[:-1]) | (value[span : span + n - 1] < least[:-1])
+    new[1:] |= valid[1:] != valid[:-1]
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(starts)))
-    return row[starts[first]], starts[first], count, value[trigger[first]]
+    count = np.diff(np.append(first, n))
+    first, count = first[valid[first]], count[valid[first]]
+    return np.searchsorted(offsets, first, "right") - 1, first, count, least[first]
 
 
 def _text_bits(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -131,7 +134,7 @@ def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[s
 
 
 def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int, shared=None) -> Iterator[pa.RecordBatch]:
-    """(h, x, doc, n) of each distinct phrase of a document.
+    """(h, x, doc, n) of the phrases of documents; n equal ones are one row if no other of the trigger is between.
 
     With a table of shared triggers: (h, x, doc, place) of each phrase whose trigger may be
     among them.
@@ -148,7 +151,7 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int, shared=Non
         x = SpanHash(data, 12)(start, start + count + length - 1)
         columns = [int64(h), int64(x), pa.array(ids[row])]
         if shared is None:
-            order = np.lexsort((x, h, row))
+            order = np.argsort(h, kind="stable")
             new = np.ones(len(order), dtype=bool)
             for a in (x, h, row):
                 new[1:] &= a[order][1:] == a[order][:-1]
@@ -208,6 +211,74 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         )
 
 
+def _seen_earlier(
+    h: np.ndarray, doc: np.ndarray, place: np.ndarray, sizes: np.ndarray, strings: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, place) of each run of strings that an earlier document has, for phrases of whole triggers."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(strings)
+    same = strings[order[1:]] == strings[order[:-1]]
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] |= same
+    again[:-1] |= same
+    some = order[again]
+    if not len(some):
+        return doc[:0], place[:0]
+    some = some[np.lexsort((strings[some], h[row[some]]))]
+    s, t, d = strings[some], h[row[some]], doc[row[some]]
+    new = np.ones(len(some), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+    first = np.flatnonzero(new)
+    low = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(some))))
+    at = np.sort(some[d > low])
+    opens = np.ones(len(at), dtype=bool)
+    opens[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
+    begin = np.flatnonzero(opens)
+    count = np.diff(np.append(begin, len(at)))
+    at = at[begin]
+    i = at - (np.cumsum(sizes) - sizes)[row[at]]
+    whole = place[row[at]].view(np.uint64)
+    front = (whole >> np.uint64(_COUNT_BITS)) + i.astype(np.uint64)
+    return doc[row[at]], ((front << np.uint64(_COUNT_BITS)) | count.astype(np.uint64)).view(np.int64)
+
+
+def _earlier_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, place) of each run of strings that an earlier document has.
+
+    The phrases (h, doc, place, strings) come sorted by trigger. The last trigger of a block
+    waits for the next one, as it may go on there.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = rows.column("strings").combine_chunks()
+        h, doc, place = (rows.column(c).to_numpy() for c in ("h", "doc", "place"))
+        sizes = np.diff(lists.offsets.to_numpy())
+        found = _seen_earlier(h, doc, place, sizes, lists.flatten().to_numpy(zero_copy_only=False))
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["doc", "place"])
+
+    waiting, enough = 0, BLOCK_ROWS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        waiting += batch.num_rows
+        if waiting < enough:
+            continue
+        rows = pa.Table.from_batches(held)
+        h = rows.column("h").to_numpy()
+        other = np.flatnonzero(h != h[-1])
+        end = int(other[-1]) + 1 if len(other) else 0
+        if end:
+            yield from run(rows.slice(0, end))
+        held = rows.slice(end).to_batches()
+        waiting = rows.num_rows - end
+        enough = max(BLOCK_ROWS, 2 * waiting)
+    if held:
+        yield from run(pa.Table.from_batches(held))
+
+
 def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """doc_id, the bytes that stay, the number of bytes and the removed spans."""
     for rows, data, offsets in slices(batches):
@@ -293,35 +364,54 @@ def repeated_places(
             lambda it: _suffixes(it, length), "h long, doc long, place long, strings array<long>"
         )
     )
-    for part in range(2 * rounds):
-        strings = phrase.where(F.pmod("h", F.lit(2 * rounds)) == part).select(
-            "h", "doc", "place", F.posexplode("strings").alias("i", "s")
-        )
-        earliest = cut(
-            strings.groupBy("h", "s")
-            .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
-            .where("low < high")
-            .select("h", "s", "low", "n")
-        )
+    hot = cut(
+        phrase.groupBy("h").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).select("h")
+    )
+    calm = phrase.join(F.broadcast(hot), "h", "left_anti")
+    for part in range(rounds):
         whole.append(
             cut(
-                join_hot(strings, earliest, ["h", "s"], ["doc", "place", "i"])
-                .where("doc > low")
-                .select(
-                    "doc",
-                    # the place of the i-th string of the phrase, alone
-                    (
-                        F.shiftleft(F.shiftright("place", _COUNT_BITS) + F.col("i"), _COUNT_BITS)
-                        + F.lit(1)
-                    ).alias("place"),
-                )
+                calm.where(F.pmod("h", F.lit(rounds)) == part)
+                .repartition("h")
+                .sortWithinPartitions("h")
+                .select("h", "doc", "place", "strings")
+                .mapInArrow(_earlier_runs, "doc long, place long")
             )
         )
-        drop(earliest)
+    if not hot.isEmpty():
+        crowded = cut(phrase.join(F.broadcast(hot), "h", "left_semi"))
+        whole += [_earlier_strings(crowded, 2 * rounds, part) for part in range(2 * rounds)]
+        drop(crowded)
+    drop(hot)
     drop(phrase)
     return union(whole).groupBy("doc").agg(F.collect_list("place").alias("places"))
 
 
+def _earlier_strings(phrase: DataFrame, parts: int, part: int) -> DataFrame:
+    """(doc, place) of each string that an earlier document has, in a part of the hash space."""
+    strings = phrase.select("h", "doc", "place", F.posexplode("strings").alias("i", "s")).where(
+        F.pmod("s", F.lit(parts)) == part
+    )
+    earliest = cut(
+        strings.groupBy("h", "s")
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
+        .where("low < high")
+        .select("h", "s", "low", "n")
+    )
+    found = cut(
+        join_hot(strings, earliest, ["h", "s"], ["doc", "place", "i"])
+        .where("doc > low")
+        .select(
+            "doc",
+            # the place of the i-th string of the phrase, alone
+            (F.shiftleft(F.shiftright("place", _COUNT_BITS) + F.col("i"), _COUNT_BITS) + F.lit(1)).alias("place"),
+        )
+    )
+    drop(earliest)
+    return found
+
+
 def without_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",

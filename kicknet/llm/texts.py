@@ -63,6 +63,12 @@ class SpanHash:
         length = (end - start).astype(np.uint64)
         return mix((self._sums[end] - self._sums[start]) * self._downs[start] + length)
 
+    def every(self, length: int) -> np.ndarray:
+        """The hashes of all spans of a length, by start."""
+        n = max(0, len(self._sums) - length)
+        out = (self._sums[length:] - self._sums[:n]) * self._downs[:n]
+        return mix(out + np.uint64(length))
+
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets; nulls are empty."""

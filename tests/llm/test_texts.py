@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,43 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, hot_rows, bits,
     assert repeats.without_repeats(df.limit(0)).collect() == []
 
 
+def test_phrases_have_the_first_of_the_smallest_hashes():
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        sizes = rng.integers(0, 150, 4)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        data = rng.integers(0, (1, 2, 256)[k % 3], offsets[-1]).astype(np.uint8)
+        value = repeats.SpanHash(data, 11)(places := np.arange(max(0, len(data) - 19)), places + 20)
+        expected, before = [], None
+        for row, (begin, end) in enumerate(zip(offsets, offsets[1:])):
+            for start in range(begin, end - 49):
+                at = start + int(np.argmin(value[start : start + 31]))
+                if (row, at) == before:
+                    expected[-1][2] += 1
+                else:
+                    expected.append([row, start, 1, value[at]])
+                before = row, at
+        assert [list(p) for p in zip(*repeats.phrases(data, offsets))] == expected
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_strings_of_earlier_documents_come_back_as_runs(monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK_ROWS", block)
+    # (trigger, document, start, strings); the same string under two triggers is not the same
+    rows = [(1, 5, 0, [7, 8, 9]), (1, 6, 40, [1, 8, 9, 7, 2, 9]), (1, 5, 90, [8]), (2, 7, 0, [8, 3]), (3, 1, 2, [4]), (3, 2, 3, [4])]
+    bits = 5 << 42
+    place = [bits | start << 6 | len(strings) for _, _, start, strings in rows]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([r[0]]), pa.array([r[1]]), pa.array([p]), pa.array([r[3]], pa.list_(pa.int64()))],
+            ["h", "doc", "place", "strings"],
+        )
+        for r, p in zip(rows, place)
+    ]
+    got = sorted((doc, p) for b in repeats._earlier_runs(iter(batches)) for doc, p in zip(*(c.to_pylist() for c in b.columns)))
+    assert got == [(2, bits | 3 << 6 | 1), (6, bits | 41 << 6 | 3), (6, bits | 45 << 6 | 1)]
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
