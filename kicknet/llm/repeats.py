@@ -18,8 +18,8 @@ string of `length` bytes (50) that also starts in a document with a smaller id.
    of their suffixes, cut to 50 bytes: equal suffixes are neighbours in the suffix array
    of the dictionary, and only equality to this depth is asked for. Within a task, the
    strings of a block of triggers are sorted by hash; runs of them come back as one row.
-   Phrases of the thousand triggers with the most phrases are not brought together: their
-   strings are spread by their hash, a row each, and find the earliest document in a join.
+   Phrases of triggers that have more than a 2,048th of them are not brought together:
+   their strings are spread by hash, a row each, and find the earliest document in a join.
 5. The removed spans go back to the texts by document.
 
 Everything is hash aggregation and joins on 64-bit keys: minima are combined before
@@ -56,6 +56,8 @@ _START_BITS, _COUNT_BITS = 36, 6
 MOST_BITS, BITS_A_TRIGGER = 27, 32
 #: Keys that are salted, at most, the rows from which on a key is, and its salts.
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 256
+#: A trigger that has this many of the phrases of step 4, and more than one in CALM_SHARE, is hot there.
+HOT_PHRASES, CALM_SHARE = 200, 2048
 #: Phrases whose strings are compared at once in a task, but for a trigger that has more.
 BLOCK_ROWS = 20_000
 
@@ -364,10 +366,8 @@ def repeated_places(
             lambda it: _suffixes(it, length), "h long, doc long, place long, strings array<long>"
         )
     )
-    hot = cut(
-        phrase.groupBy("h").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).select("h")
-    )
+    least = max(HOT_PHRASES, phrase.count() // CALM_SHARE)
+    hot = cut(phrase.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"))
     calm = phrase.join(F.broadcast(hot), "h", "left_anti")
     for part in range(rounds):
         whole.append(

@@ -84,6 +84,21 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, hot_rows, bits,
     assert repeats.without_repeats(df.limit(0)).collect() == []
 
 
+def test_hot_triggers_give_the_same_strings(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = rng.randbytes(60).hex()
+    docs = [(i, rng.randbytes(20).hex() + passage[i % 7 : 100 - i % 5] + rng.randbytes(9).hex()) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    calls, spread = [], repeats._earlier_strings
+    monkeypatch.setattr(repeats, "_earlier_strings", lambda *a: calls.append(a) or spread(*a))
+    for hot, crowded in ((2, True), (10**6, False)):
+        monkeypatch.setattr(repeats, "HOT_PHRASES", hot)
+        calls.clear()
+        got = repeats.without_repeats(df.repartition(3)).collect()
+        assert sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"]) for r in got), key=str) == removed(docs, 50)
+        assert bool(calls) == crowded
+
+
 def test_phrases_have_the_first_of_the_smallest_hashes():
     rng = np.random.default_rng(3)
     for k in range(60):
