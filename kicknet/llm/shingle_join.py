@@ -283,11 +283,13 @@ def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _verified_in_rounds(pairs: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
     """Tables of the pairs that are similar enough.
 
-    Sets are shuffled for those that the sketches leave, a part of the pairs at a time.
+    Sets are shuffled for those that the sketches leave: all at once if these are no more
+    than the sets, which each round shuffles anew, else a part of the pairs at a time.
     """
     near = cut(_sketched(pairs, sets, percent))
-    part = F.pmod(F.xxhash64("a", "b"), F.lit(ROUNDS))
-    found = [cut(_verified(near.where(part == k), sets, percent)) for k in range(ROUNDS)]
+    rounds = min(ROUNDS, 1 + near.count() // max(1, sets.count()))
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(rounds))
+    found = [cut(_verified(near.where(part == k), sets, percent)) for k in range(rounds)]
     drop(near)
     return found
 
