@@ -172,6 +172,49 @@ def test_scores_equal_counts_and_the_plain_sampler(spark, tmp_path):
         assert abs(r["score"] - one["score"]) < 0.1 + 0.05 * abs(one["score"])
 
 
+@pytest.mark.parametrize("most", [50, 2**62])
+def test_numbers_are_ordered_with_their_places(most):
+    code = np.random.default_rng(3).integers(0, 50, 1000)
+    found, place = pitman_yor.ordered(code, most)  # beyond 64 bits with the place: by a list of places
+    order = np.argsort(code, kind="stable")
+    assert (found == code[order]).all() and (place == order).all()
+
+
+def test_a_chunk_holds_a_word_once_and_sends_each_pair_to_one_block(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", [30, 1, 1, 1, 1, 1, 1, 1], k=rng.randint(0, 60))) for _ in range(40)]
+    table = spark.createDataFrame([(i, i % 3 > 0, t) for i, t in enumerate(texts)], "doc_id long, learn boolean, text string")
+    chunks = table.coalesce(1).mapInArrow(lambda it: pitman_yor._chunks(it, 10_000), pitman_yor.CHUNK).toArrow()
+    words = np.frombuffer(chunks["words"][0].as_py(), np.uint64)
+    number = np.frombuffer(chunks["tokens"][0].as_py(), np.uint32)
+    assert len(words) == len({w for t in texts for w in tokens(t)}) and chunks["ends"][0].values[-1].as_py() == len(number)
+
+    u, count, docs = np.append(words, pitman_yor.START), Counter(), Counter()
+    ends = chunks["ends"][0].as_py()
+    for d, (a, b) in enumerate(zip(ends, ends[1:])):
+        for x, y in zip([len(words), *number[a : b - 1]], number[a:b]):
+            pair = int(u[x]), int(words[y])
+            count[pair] += d % 3 > 0
+            docs[pair, d] += 1
+    hot = np.array([words[np.bincount(number).argmax()]], np.uint64)
+    plan = pitman_yor.Plan(5, hot, np.array([4], np.uint64))
+    found, by_doc, blocks = {}, Counter(), defaultdict(set)
+    for part in range(2):
+        for batch in pitman_yor._pairs(iter(chunks.to_batches()), plan, True, part, 2):
+            for row in batch.to_pylist():
+                assert row["dst"] % 2 == part
+                contexts, runs, w, n, per_pair, doc, times = pitman_yor.unpack(row["data"])
+                pairs = [*zip(np.repeat(contexts, runs).tolist(), w.tolist())]
+                assert pairs == sorted(set(pairs)) and not found.keys() & set(pairs)
+                found.update(zip(pairs, n.tolist()))
+                for (pair, d), k in zip(zip((p for p, m in zip(pairs, per_pair) for _ in range(m)), doc.tolist()), times.tolist()):
+                    by_doc[pair, d] += k
+                for x, _ in pairs:
+                    blocks[x].add(row["dst"])
+    assert found == dict(count) and by_doc == docs
+    assert len(blocks.pop(int(hot[0]))) > 1 and all(len(b) == 1 for b in blocks.values())
+
+
 def test_probabilities_of_all_words_add_up_to_one():
     plan = pitman_yor.Plan(1, np.zeros(0, np.uint64), np.zeros(0, np.uint64), kinds=5, root=np.array([[14.0, 6.0]]))
     n, t = np.array([1, 2, 3, 4, 4, 0]), np.array([1, 1, 1, 1, 2, 0])
