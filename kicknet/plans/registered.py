@@ -26,7 +26,7 @@ from kicknet.sources import driver_tables as D
 from kicknet.sources.master import SOURCE_NAMES, scan_taxa
 from kicknet.sources.observations import ROW_ORDER as SCAN_ORDER
 from kicknet.sources.observations import scan_observations
-from kicknet.sources.workspace import work_folder
+from kicknet.sources.workspace import bounded, work_folder
 
 KEY = D.ROLES.sample_key
 COUNT = D.ROLES.result_val
@@ -48,8 +48,10 @@ def _standardized(spark: SparkSession, sf_dir: str, preset=S.CURRENT) -> DataFra
     )
 
 
-def _counted(spark: SparkSession, sf_dir: str, preset=S.CURRENT) -> DataFrame:
-    return R.drop_redundant(_standardized(spark, sf_dir, preset), KEY, D.ROW_ORDER)
+def _of_counted(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a step makes of the rows without double counts."""
+    rows = _standardized(spark, sf_dir)
+    return bounded(rows, lambda kept: step(R.drop_redundant(kept, KEY, D.ROW_ORDER)), "counted")
 
 
 def _content(df: DataFrame) -> DataFrame:
@@ -216,15 +218,18 @@ def _redundant_rank(missing: str) -> Query:
 
 
 def q_drop_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(spark, sf_dir)
+    return _of_counted(spark, sf_dir, lambda counted: counted)
 
 
 # --- metrics and scores ----------------------------------------------------------------
 
 
-def _single(metric, rows=_counted) -> Query:
+def _single(metric, raw: bool = False) -> Query:
+    def of(rows: DataFrame) -> DataFrame:
+        return M.single_metric(rows, KEY, COUNT, metric)
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table = M.single_metric(rows(spark, sf_dir), KEY, COUNT, metric)
+        table = of(_standardized(spark, sf_dir)) if raw else _of_counted(spark, sf_dir, of)
         return table if isinstance(metric, M.Richness) else _rounded(table, metric.name)
 
     return query
@@ -243,7 +248,7 @@ SCORED = (
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.assemble_metrics(_counted(spark, sf_dir), KEY, COUNT)
+    return _of_counted(spark, sf_dir, lambda counted: M.assemble_metrics(counted, KEY, COUNT))
 
 
 def q_assemble_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +256,7 @@ def q_assemble_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_assemble_metrics_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = M.assemble_metrics_full_join(_counted(spark, sf_dir), KEY, COUNT)
+    table = _of_counted(spark, sf_dir, lambda counted: M.assemble_metrics_full_join(counted, KEY, COUNT))
     return _rounded(table, *FRACTIONS)
 
 
@@ -346,7 +351,7 @@ QUERIES: dict[str, Query] = {
     "dedupe_keep_first": q_dedupe_keep_first,
     "distinct_samples": q_distinct_samples,
     "window_sample_total": q_window_sample_total,
-    "richness_raw": _single(M.TOTAL_TAXA, _standardized),
+    "richness_raw": _single(M.TOTAL_TAXA, raw=True),
     "redundant_tribe": q_redundant_tribe,
     "redundant_family": q_redundant_family,
     "redundant_order": _redundant_rank(FAMILY),

@@ -22,6 +22,7 @@ from kicknet.operators.selection import (
 )
 from kicknet.operators.taxa import ID, identified, join_taxa_by_id, standard_order, standardize_taxa
 from kicknet.plans.presets import CURRENT, Preset
+from kicknet.sources.workspace import bounded
 
 
 def select_observations(
@@ -81,8 +82,16 @@ def counted_rows(
     taxa_order: Sequence[str] = (),
 ) -> DataFrame:
     """The standardised rows without double counts: what the metrics are computed from."""
-    rows = standardized_rows(obs, taxa, roles, preset, order_cols, taxa_order)
-    return drop_redundant(rows, roles.sample_key, [*order_cols, *standard_order(taxa_order)])
+    return _of_counted_rows(
+        standardized_rows(obs, taxa, roles, preset, order_cols, taxa_order),
+        roles, order_cols, taxa_order, lambda counted: counted, "counted",
+    )
+
+
+def _of_counted_rows(rows: DataFrame, roles: ColumnRoles, order_cols, taxa_order, step, name: str):
+    """What a step makes of the rows without double counts, in tasks of bounded size."""
+    order = [*order_cols, *standard_order(taxa_order)]
+    return bounded(rows, lambda kept: step(drop_redundant(kept, roles.sample_key, order)), name)
 
 
 def score_table(metrics: DataFrame) -> DataFrame:
@@ -102,10 +111,15 @@ def score_samples(
     """One row per sample: seven metrics, their scores, the index and two labels.
 
     ``order_cols`` give the row order of the file, which decides what a first
-    row is; ``taxa_order`` the master's, where ids or names repeat in it.
+    row is; ``taxa_order`` the master's, where ids or names repeat in it. The metrics are
+    worked out when this is called, in tasks of bounded size, and kept in a work folder.
     """
-    rows = counted_rows(obs, taxa, roles, preset, order_cols, taxa_order)
-    return score_table(assemble_metrics(rows, roles.sample_key, roles.result_val, strict=strict))
+
+    def metrics(counted: DataFrame) -> DataFrame:
+        return assemble_metrics(counted, roles.sample_key, roles.result_val, strict=strict)
+
+    rows = standardized_rows(obs, taxa, roles, preset, order_cols, taxa_order)
+    return score_table(_of_counted_rows(rows, roles, order_cols, taxa_order, metrics, "metrics"))
 
 
 def preview_scores(scores: DataFrame, sample_key: Sequence[str], n: int = 6) -> DataFrame:

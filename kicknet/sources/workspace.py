@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROW_GROUP_BYTES = 4 << 20
+#: Rows, and compressed bytes of them, that a shuffle is to bring to one task of a `bounded` step.
+TASK_ROWS, TASK_BYTES = 100_000, 8 << 20
+PARTITIONS = "spark.sql.shuffle.partitions"
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -47,6 +52,37 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     return spark.read.schema(schema).parquet(folder)
 
 
+@contextmanager
+def task_sizes(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """What runs in this block shuffles a table of so many rows to tasks of bounded size.
+
+    Adaptive execution merges partitions up to 64 MB by default, of which a task that
+    sorts and aggregates may hold over ten times as much. Smaller settings are left.
+    """
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    before = {name: spark.conf.get(name, None) for name in (PARTITIONS, ADVISORY)}
+    spark.conf.set(PARTITIONS, max(int(spark.conf.get(PARTITIONS)), -(-rows // TASK_ROWS)))
+    spark.conf.set(ADVISORY, min(bytes_of(spark.conf.get(ADVISORY)), TASK_BYTES))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def bounded(rows: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What a step makes of the rows, in tasks whose size does not follow the table's.
+
+    The rows are written first, so their number is known and the branches of the step read
+    them instead of deriving them again; the result is written, as the sizes hold until then.
+    """
+    spark = rows.sparkSession
+    with task_sizes(spark):
+        kept = written(rows, "standardised")
+    with task_sizes(spark, kept.count()):
+        return written(step(kept), name)
+
+
 #: Tables kept by `once`, by application, name and state of the files they are made from.
 _kept: dict[tuple, str] = {}
 
