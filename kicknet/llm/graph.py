@@ -67,11 +67,15 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     _filesystem(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared folder that nothing reads any more."""
+    _filesystem(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables made by `cut` that nothing reads any more."""
     for table in tables:
-        spark, path = table.sparkSession, table._table_path
-        _filesystem(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        remove(table.sparkSession, table._table_path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

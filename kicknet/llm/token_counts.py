@@ -19,7 +19,8 @@ no task holds the documents of a file.
 
 `write_token_files` makes such files: encoded documents are dealt to shards of bounded
 size and written in the order of their ids by Spark's text writer, the separator being
-its line end.
+its line end. `document_counts` counts the files of a part of the shards before it writes
+those of the next one, so that no more than one part's files and shuffle stand on the disk.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kicknet.llm.graph import cut, remove_at_exit, shared_folder, shuffles_removed
+from kicknet.llm.graph import cut, remove, remove_at_exit, shared_folder, shuffles_removed
 
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20
@@ -116,6 +117,19 @@ def scan_token_files(
     of one file are in the order of their paths. Files above `whole_file` bytes are read
     by ranges, smaller ones through Spark.
     """
+    return _stitched(_scanned(spark, path, eod, width, block_bytes, same_file, whole_file))
+
+
+def _scanned(
+    spark: SparkSession,
+    path: str,
+    eod: int,
+    width: int = 2,
+    block_bytes: int = BLOCK_BYTES,
+    same_file: Column | None = None,
+    whole_file: int = WHOLE_FILE,
+) -> DataFrame:
+    """A table of the files' blocks; the files are not read again."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     large = F.col("length") > whole_file
     seen = files.agg(
@@ -144,7 +158,11 @@ def scan_token_files(
             .repartition(max(1, -(-seen["large"] // TASK_BYTES)), "block")
         )
         found = found.unionByName(ranges.mapInArrow(lambda it: _read_blocks(it, eod, width), _FOUND))
-    found = cut(found)  # read for the prefix scan and for the documents
+    return cut(found)  # read for the prefix scan and for the documents
+
+
+def _stitched(found: DataFrame) -> DataFrame:
+    """file, document, start and n_tokens of each document of whole files, from their blocks."""
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -191,17 +209,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
             )
 
 
-def write_token_files(
-    docs: DataFrame, model: bytes, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS
-) -> tuple[str, DataFrame]:
-    """(folder of token files, where each document is: doc_id, shard, document).
-
-    Ids have 16 bits, the separator is the model's </s>, the files are removed when the
-    session ends. Documents of a shard are in the order of doc_id (nulls first). Shards
-    are written in `rounds` parts, one after the other, so that no more than one
-    part stands in shuffle files.
-    """
-    spark = docs.sparkSession
+def _dealt(docs: DataFrame, model: bytes, shard_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with their shard, where each is within it, and the number of shards."""
     processor = _processor(model)
     if processor.get_piece_size() > 2**16:
         raise ValueError("the model has more pieces than 16 bits can number")
@@ -216,37 +225,72 @@ def write_token_files(
     keyed = rows.withColumn("tie", F.xxhash64("text")).withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards))
     )
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    remove_at_exit(spark, folder)
-    separator = processor.eos_id().to_bytes(2, "little").decode()
-    with shuffles_removed(spark):
-        for part in range(min(rounds, shards)):
-            (
-                keyed.select("doc_id", "tie", "shard", "text")
-                .where(F.col("shard") % rounds == part)
-                .mapInArrow(
-                    lambda it: _encoded(it, model), "doc_id long, tie long, shard long, tokens binary"
-                )
-                .repartition(-(-shards // rounds), "shard")
-                .sortWithinPartitions("shard", "doc_id", "tie")
-                .select("shard", F.col("tokens").cast("string").alias("value"))
-                .write.mode("append")
-                .partitionBy("shard")
-                .option("lineSep", separator)
-                .text(folder)
-            )
     order = Window.partitionBy("shard").orderBy("doc_id", "tie")
     places = keyed.select(
         "doc_id", "shard", (F.row_number().over(order) - 1).cast("long").alias("document")
     )
+    return keyed, places, shards
+
+
+def _write_part(keyed: DataFrame, model: bytes, shards: int, rounds: int, part: int, folder: str) -> None:
+    """Adds the token files of every `rounds`-th shard to a folder."""
+    separator = _processor(model).eos_id().to_bytes(2, "little").decode()
+    with shuffles_removed(keyed.sparkSession):
+        (
+            keyed.select("doc_id", "tie", "shard", "text")
+            .where(F.col("shard") % rounds == part)
+            .mapInArrow(
+                lambda it: _encoded(it, model), "doc_id long, tie long, shard long, tokens binary"
+            )
+            .repartition(-(-shards // rounds), "shard")
+            .sortWithinPartitions("shard", "doc_id", "tie")
+            .select("shard", F.col("tokens").cast("string").alias("value"))
+            .write.mode("append")
+            .partitionBy("shard")
+            .option("lineSep", separator)
+            .text(folder)
+        )
+
+
+def _new_folder(spark: SparkSession) -> str:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    return folder
+
+
+def write_token_files(
+    docs: DataFrame, model: bytes, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS
+) -> tuple[str, DataFrame]:
+    """(folder of token files, where each document is: doc_id, shard, document).
+
+    Ids have 16 bits, the separator is the model's </s>, the files are removed when the
+    session ends. Documents of a shard are in the order of doc_id (nulls first). Shards
+    are written in `rounds` parts, one after the other, so that no more than one
+    part stands in shuffle files.
+    """
+    keyed, places, shards = _dealt(docs, model, shard_bytes)
+    folder = _new_folder(docs.sparkSession)
+    for part in range(min(rounds, shards)):
+        _write_part(keyed, model, shards, rounds, part, folder)
     return folder, places
 
 
-def document_counts(docs: DataFrame, model: bytes, **options) -> DataFrame:
-    """doc_id, shard, document and n_tokens of every row, counted in its token file."""
+def document_counts(
+    docs: DataFrame, model: bytes, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS
+) -> DataFrame:
+    """doc_id, shard, document and n_tokens of every row, counted in its token file.
+
+    The files are those of `write_token_files`; a part of them is removed once it is scanned.
+    """
     spark = docs.sparkSession
-    folder, places = write_token_files(docs, model, **options)
-    counts = scan_token_files(spark, folder, _processor(model).eos_id()).select(
+    keyed, places, shards = _dealt(docs, model, shard_bytes)
+    found = []
+    for part in range(min(rounds, shards)):
+        folder = _new_folder(spark)
+        _write_part(keyed, model, shards, rounds, part, folder)
+        found.append(_scanned(spark, folder, _processor(model).eos_id()))
+        remove(spark, folder)
+    counts = _stitched(reduce(DataFrame.unionByName, found)).select(
         F.regexp_extract("file", r"shard=(\d+)", 1).cast("long").alias("shard"), "document", "n_tokens"
     )
     return places.join(counts, ["shard", "document"]).select("doc_id", "shard", "document", "n_tokens")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kicknet.llm import chat, decontam, main_text, pieces, repeats, token_counts
+from kicknet.llm.graph import shared_folder
 from kicknet.llm.queries import TOKENIZERS, piece_model
 
 LONG = "w " * 300_000
@@ -335,6 +337,22 @@ def test_counts_of_documents(spark):
     assert got == sorted((str(d), len(machine.encode(t))) for d, t in docs)
 
 
+def test_token_files_go_when_they_are_counted(spark):
+    def there():
+        return set(Path(shared_folder(spark).removeprefix("file:")).glob("tokens-*"))
+
+    docs = [(i, "one two " * i) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = pieces.compile_model(piece_model())
+    before = there()
+    for some, shard_bytes in ((df, 1), (df, 16), (df.limit(0), 1)):  # parts without documents, too
+        counts = token_counts.document_counts(some, piece_model(), shard_bytes=shard_bytes)
+        assert there() == before
+        assert sorted((r["doc_id"], r["n_tokens"]) for r in counts.collect()) == [
+            (d, len(machine.encode(t))) for d, t in docs if some is df
+        ]
+
+
 # --- pages -------------------------------------------------------------------------------
 
 PAGES = [
