@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Removes an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a task that writes a table whose size is known.
+FILE_ROWS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,15 +41,20 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
     """The rows, written once as a table in the shared folder and read from there.
 
+    `most`: narrow rows that the last stage reads or writes, no more than these; few are
+    written by few tasks, not to a file for each shuffle partition.
+
     This ends the lineage: a lost executor costs no more than its running tasks. The
     shuffle files behind the rows are removed at once, the tables when the session
     ends, or by `drop`.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if most is not None:
+        df = df.coalesce(1 + most // FILE_ROWS)
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
     remove_at_exit(spark, path)
@@ -78,7 +85,7 @@ def drop(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._table_path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """Every node that has an edge with the smallest node it is joined to: (node, root).
 
     Rounds of two steps on edges (node, smaller node), after Kiveris and others,
@@ -87,12 +94,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Small step: the same for its smaller neighbours. Minima are combined before the
     shuffle and joined back, so a node with many edges is not one task. The rounds
     end when a round changes nothing; they are logarithmic in the longest path in
-    practice, and each is cut off by a checkpoint.
+    practice, and each is cut off by a checkpoint. No round adds edges. `most`: the number
+    of edges, if known.
     """
     now = cut(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
+        .distinct(),
+        most,
     )
     before = None
     while True:
@@ -110,7 +119,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        after = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), stats[0])
         drop(now)
         now = after
     roots = now.groupBy("u").agg(F.min("v").alias("root"))

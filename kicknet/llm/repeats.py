@@ -343,8 +343,9 @@ def repeated_places(
     shared.unpersist()
     drop(triggers)
     mixed = found.where("differ").select("h", "x", "doc", "place")
-    first = cut(mixed.groupBy("h", "x").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
-    placed = cut(join_hot(mixed, first, ["h", "x"], ["doc", "place"]))
+    most = mixed.count()
+    first = cut(mixed.groupBy("h", "x").agg(F.min("doc").alias("first"), F.count("*").alias("n")), most)
+    placed = cut(join_hot(mixed, first, ["h", "x"], ["doc", "place"]), most)
     whole = [cut(found.where("not differ").select("doc", "place")), placed.where("doc > first").select("doc", "place")]
     drop(found, first)
 
@@ -366,8 +367,9 @@ def repeated_places(
             lambda it: _suffixes(it, length), "h long, doc long, place long, strings array<long>"
         )
     )
-    least = max(HOT_PHRASES, phrase.count() // CALM_SHARE)
-    hot = cut(phrase.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"))
+    most = phrase.count()
+    least = max(HOT_PHRASES, most // CALM_SHARE)
+    hot = cut(phrase.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"), most)
     calm = phrase.join(F.broadcast(hot), "h", "left_anti")
     for part in range(rounds):
         whole.append(

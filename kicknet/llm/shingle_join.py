@@ -329,12 +329,17 @@ def similar_classes(
         .agg(F.first("keys").alias("keys"))
     )
     # keys carry their class, so classes never meet: some at a time bound the disk
-    parts = [_crowding(keys.where(F.col("cls") % ROUNDS == part)) for part in range(ROUNDS)]
+    entries = {
+        r["part"]: r["n"]
+        for r in keys.groupBy((F.col("cls") % ROUNDS).alias("part")).agg(F.sum(F.size("keys")).alias("n")).collect()
+    }
+    parts = [_crowding(keys.where(F.col("cls") % ROUNDS == part), entries.get(part, 0)) for part in range(ROUNDS)]
     drop(keys)
     on = _union(parts)
+    most = on.count()
     first = on.groupBy("key").agg(F.min("cid").alias("a"))
     pairs = on.join(first, "key").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
-    pairs = cut(pairs)
+    pairs = cut(pairs, most)
     used = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     rows = members.join(used, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     sets = cut(
@@ -346,16 +351,16 @@ def similar_classes(
         .withColumn("n", F.size("shingles"))
     )
     links = _verified_in_rounds(pairs, sets, percent)
-    roots = components(_union(links))
+    roots = components(_union(links), most=_union(links).count())
     labelled = on.join(roots, on["cid"] == roots["node"], "left").select(
         "key", "cid", F.coalesce("root", "cid").alias("root")
     )
     split = labelled.groupBy("key").agg(
         F.min("cid").alias("a"), F.min("root").alias("low"), F.max("root").alias("high")
     ).where("low != high").select("key", "a")
-    left = cut(labelled.join(split, "key"))
+    left = cut(labelled.join(split, "key"), most)
     lengths = left.groupBy("key").agg(F.count("*").alias("length"))
-    sized = cut(left.join(lengths, "key"))
+    sized = cut(left.join(lengths, "key"), most)
     drop(left)
     short = sized.where(F.col("length") < LONG_LIST)
     home = short.where("cid = a").select("key", F.col("root").alias("home")).distinct()
@@ -380,8 +385,8 @@ def similar_classes(
     return members, every
 
 
-def _crowding(keys: DataFrame) -> DataFrame:
-    """(key, cid) of the lists on which the sets of some classes are compared.
+def _crowding(keys: DataFrame, entries: int) -> DataFrame:
+    """(key, cid) of the lists on which the sets of some classes are compared, from so many entries.
 
     Sets that meet others on too few lists are left out, which shortens lists, so this is
     done twice; sets on few long lists leave these out.
@@ -389,7 +394,7 @@ def _crowding(keys: DataFrame) -> DataFrame:
     shared, before = keys.select("cid", "cls", "spare", F.explode("keys").alias("key")), []
     for _ in range(2):
         lists = shared.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-        met = cut(shared.select("cid", "cls", "spare", "key").join(lists, "key"))
+        met = cut(shared.select("cid", "cls", "spare", "key").join(lists, "key"), entries)
         drop(*before)
         enough = (
             met.groupBy("cid", "cls", "spare")
@@ -398,11 +403,11 @@ def _crowding(keys: DataFrame) -> DataFrame:
             .select("cid", "cls", (F.col("long") > F.col("spare")).alias("crowded"))
         )
         shared = cut(
-            met.join(enough, ["cid", "cls"]).select("cid", "cls", "spare", "key", "length", "crowded")
+            met.join(enough, ["cid", "cls"]).select("cid", "cls", "spare", "key", "length", "crowded"), entries
         )
         before = [shared]
         drop(met)
-    on = cut(shared.where((F.col("length") < LONG_LIST) | F.col("crowded")).select("key", "cid"))
+    on = cut(shared.where((F.col("length") < LONG_LIST) | F.col("crowded")).select("key", "cid"), entries)
     drop(shared)
     return on
 
@@ -504,7 +509,7 @@ def jaccard_components(
     component_id is the smallest id that is reached by links, the row's own included.
     """
     members, links = similar_classes(docs, id_col, text_col, width, percent)
-    roots = components(links)
+    roots = components(links, most=links.count())
     placed = members.join(roots, members["cid"] == roots["node"], "left").select(
         "doc_id", "n", F.coalesce("root", "cid").alias("root")
     )

@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from kicknet.llm import graph
 from kicknet.llm import shingle_join as J
 
 
@@ -111,3 +112,33 @@ def test_sketches_lose_no_link_and_keep_other_pairs_from_the_sets(spark, words):
     near = {tuple(r) for r in J._sketched(pairs, sets, 90).collect()}
     assert linked and linked <= near and len(near) < 2 * len(linked) + 100 < pairs.count() / 5
     assert {tuple(r) for t in J._verified_in_rounds(pairs, sets, 90) for r in t.collect()} == linked
+
+
+def test_few_rows_make_few_files(spark, words, monkeypatch):
+    """Tables of known size are not written to a file for each shuffle partition."""
+    files, keep = [], graph.drop
+
+    def counted(*tables):
+        files.extend((tuple(t.columns), len(t.inputFiles())) for t in tables)
+        keep(*tables)
+
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    monkeypatch.setattr(graph, "drop", counted)
+    monkeypatch.setattr(J, "drop", counted)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        chain = spark.range(200).selectExpr("id as a", "id + 1 as b")
+        assert {tuple(r) for r in graph.components(chain).collect()} == {(i, 0) for i in range(201)}
+        rounds = [n for _, n in files]
+        assert len(rounds) > 2 and max(rounds[1:]) == 1
+        files.clear()
+        docs = corpus(words, near=9)
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert rows(J.jaccard_components(df)) == brute(docs, 5, 80)
+        crowding = [n for columns, n in files if "length" in columns and "cls" in columns]
+        assert len(crowding) == 16 and max(crowding) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
